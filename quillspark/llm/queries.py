@@ -7,6 +7,8 @@ import importlib
 #: Query name: module of this subpackage. A module may hold ORACLE_SQL for its query.
 MODULES = {
     "op2_packing": "packing",
+    "op4_line_dedup": "lines",
+    "op5_language_id": "langid",
     "op9_jaccard": "jaccard",
 }
 
