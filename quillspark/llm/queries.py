@@ -9,7 +9,9 @@ MODULES = {
     "op2_packing": "packing",
     "op4_line_dedup": "lines",
     "op5_language_id": "langid",
+    "op8_nearest": "ann",
     "op9_jaccard": "jaccard",
+    "op10_warc": "warc",
 }
 
 
