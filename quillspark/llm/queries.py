@@ -6,7 +6,9 @@ import importlib
 
 #: Query name: module of this subpackage. A module may hold ORACLE_SQL for its query.
 MODULES = {
+    "op1_url_filters": "urls",
     "op2_packing": "packing",
+    "op3_token_counts": "counts",
     "op4_line_dedup": "lines",
     "op5_language_id": "langid",
     "op8_nearest": "ann",
