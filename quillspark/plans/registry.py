@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
+#: Modules that register queries.
+MODULES = ("logs_and_checks", "metrics", "answers", "contrasts", "texts", "designs")
+
 _queries: dict[str, Callable] = {}
 _sql: dict[str, str] = {}
 
@@ -22,9 +26,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    for module in MODULES:
+        importlib.import_module(f"quillspark.plans.{module}")
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_sql)
