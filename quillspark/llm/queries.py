@@ -11,6 +11,8 @@ MODULES = {
     "op3_token_counts": "counts",
     "op4_line_dedup": "lines",
     "op5_language_id": "langid",
+    "op6_pieces": "pieces",
+    "op7_media_copies": "media",
     "op8_nearest": "ann",
     "op9_jaccard": "jaccard",
     "op10_warc": "warc",
