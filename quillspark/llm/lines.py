@@ -155,17 +155,24 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc", "th", "pos", place, "line", F.char_length("line").alias("n"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(9), "line").alias("h2"))
 
 
+def once(lines: DataFrame, repeated: DataFrame) -> DataFrame:
+    """One occurrence of each distinct line: what doesn't repeat, and of the rest the first."""
+    joined = lines.join(small(repeated.select("h1", "h2", "n", "first")), ["h1", "h2", "n"], "left")
+    return joined.where(F.col("first").isNull() | (F.col("place") == F.col("first"))).drop("first")
+
+
 def near_pairs(lines: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
-    """(a, b): hashes of two different lines within the threshold; ``lines`` has line, n and h1, repeats allowed."""
+    """(a, b): hashes of two different lines within the threshold; ``lines`` has each distinct line once: line, n, h1."""
     own = lines.where(F.col("n") >= min_chars)
+    # A generator of one row stops the optimizer from working out length and letters at each use.
+    known = own.select("h1", F.inline(F.array(F.struct("line", "n", _letters(F.col("line"), F.col("n")).alias("letters")))))
     index, probes = _keys(F.col("line"), F.col("n"), max_edits)
-    keyed = own.select("h1", _letters(F.col("line"), F.col("n")).alias("letters"), index.alias("i"), probes.alias("p"))
-    left = keyed.select("h1", "letters", F.explode("i").alias("key")).distinct()
-    right = keyed.select(F.col("h1").alias("g1"), F.col("letters").alias("other"), F.explode("p").alias("key")).distinct()
+    left = known.select("h1", "letters", F.explode(index).alias("key"))
+    right = known.select(F.col("h1").alias("g1"), F.col("letters").alias("other"), F.explode(probes).alias("key"))
     met = left.join(right, (left["key"] == right["key"]) & (F.col("h1") != F.col("g1")) & (_letters_apart(F.col("letters"), F.col("other")) <= 2 * max_edits))
     pairs = stored(met.select(F.least("h1", "g1").alias("a"), F.greatest("h1", "g1").alias("b")).distinct(), "line-pairs")
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), "line-ids")
-    texts = stored(own.join(small(ids), "h1", "left_semi").groupBy("h1").agg(F.min("line").alias("line")), "line-texts")
+    texts = stored(own.join(small(ids), "h1", "left_semi").select("h1", "line"), "line-texts")
     x, y = texts.select(F.col("h1").alias("a"), F.col("line").alias("x")), texts.select(F.col("h1").alias("b"), F.col("line").alias("y"))
     return pairs.join(x, "a").join(y, "b").where(banded_distance(F.col("x"), F.col("y"), max_edits) <= max_edits).select("a", "b")
 
@@ -174,20 +181,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with the kept lines in the text column, and new columns ``n_lines`` and ``n_dropped`` (blank lines not counted)."""
     lines = lines_of(docs, id_col, text_col)
     firsts = stored(lines.groupBy("h1", "h2", "n").agg(F.min("place").alias("first"), F.count("*").alias("times")), "line-firsts")
-    pairs = stored(near_pairs(lines, max_edits, min_chars), "line-near")
-    place = firsts.select("h1", "first")
+    repeated = stored(firsts.where("times > 1"), "line-repeated")
+    pairs = stored(near_pairs(once(lines, repeated), max_edits, min_chars), "line-near")
+    ends = small(stored(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), "line-ends"))
+    place = stored(firsts.join(ends, "h1", "left_semi"), "line-places").select("h1", "first")
     both = pairs.join(place.withColumnsRenamed({"h1": "a", "first": "fa"}), "a").join(place.withColumnsRenamed({"h1": "b", "first": "fb"}), "b")
-    later = both.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("h1")).distinct().withColumn("near", F.lit(True))
-    repeated = firsts.join(later, "h1", "left").where("times > 1 or near").select("h1", "h2", "n", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    repeated = stored(repeated, "line-repeated")
-    gone = lines.drop("line").join(small(repeated), ["h1", "h2", "n"]).where(F.col("near") | (F.col("place") > F.col("first")))
+    later = small(stored(both.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("h1")).distinct().withColumn("near", F.lit(True)), "line-later"))
+    marked = firsts.join(later, "h1", "left").where("times > 1 or near").select("h1", "h2", "n", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    gone = lines.drop("line").join(small(stored(marked, "line-marked")), ["h1", "h2", "n"]).where(F.col("near") | (F.col("place") > F.col("first")))
     gone = stored(gone.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_set("pos").alias("_gone")), "line-gone")
     text = F.col(text_col).cast("string")
-    marked = docs.join(small(gone), F.col(id_col).eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_th")), "left")
+    held = docs.join(small(gone), F.col(id_col).eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_th")), "left")
     kept = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, k: ~F.array_contains(F.col("_gone"), k)), "\n"))
     n_lines = F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0)), F.lit(0))
     counted = {"n_lines": n_lines.cast("long"), "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
-    return marked.select(*[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in counted], *[v.alias(k) for k, v in counted.items()])
+    return held.select(*[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in counted], *[v.alias(k) for k, v in counted.items()])
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
