@@ -13,10 +13,12 @@ and whichever of the two prefixes ends first, the other holds that cell too: eac
 bucket. The order is free, so cells that a sample of documents shows to be frequent (passages that many
 documents share) come last; most documents never emit them.
 
-*Verify.* A bucket isn't expanded into its pairs. Its members are tested against one of them; links give
-components, and only buckets whose members are still in several components go on, with more members tested
-against the rest each time, until every two members are in one component or were tested. Candidates are
-tested on the full sets, so the result is that of all pairs.
+*Verify.* A bucket isn't expanded into its pairs. Each member is paired with the bucket's smallest id, and each
+smallest id's members are a bundle. The pairs are first held against parity sketches of single bits, one or more a
+shingle, whose Hamming distance also bounds the symmetric difference from below; what passes is tested on the full
+sets. Links give components. Only bundles whose members are still in several components go on: of the pairs across
+components that the bit sketches allow, some of each two components are tested, more of them each round, until none
+is left. So every pair that meets in a bucket ends in one component, or fails a sketch or the test itself.
 
 Bands are ``8**k``; a pair of sets on two sides of a band's end meets in the upper band. Documents with equal
 sets within a partition of the input are linked at once and only the first of them emits cells.
@@ -133,21 +135,44 @@ def emitted(shingles: np.ndarray, frequent: np.ndarray, scale: int = 1, whole: b
         proof &= len(held) >= need
         key = mix(held ^ mix(cell * np.uint64(2 * m + 1))).view(np.int64)
         if not whole and len(key) > need:
-            late = np.isin(key, frequent) if len(frequent) else np.zeros(len(key), bool)
+            late = frequent[np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)] == key if len(frequent) else np.zeros(len(key), bool)
             key = key[np.argsort(late, kind="stable")[:need]]
         out.append(key)
     return np.concatenate(out), proof
 
 
-_ROW = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
-_ROW_DDL = "kind byte, a long, b long, n long"
-#: Rows between the stages: a document (a: id, n: size), a link (a, b), a pair to test (a, b), a bucket's member (a: bucket, b: id, n: size), a document whose cells prove nothing.
-DOC, LINK, PAIR, MEMBER, WEAK = range(5)
+def bit_sketch(shingles: np.ndarray) -> bytes:
+    """Parities of the shingles at each of at least one bit a shingle, a power of two of them."""
+    bits = 1 << max(6, (len(shingles) - 1).bit_length())
+    place = (shingles >> np.uint64(17)).astype(np.int64) & (bits - 1)
+    return np.packbits(np.bincount(place, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
-def _rows(kind: int, a, b, n) -> pa.RecordBatch:
+def bits_apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference: Hamming distance, the longer sketch folded to the shorter."""
+    n = min(len(x), len(y))
+
+    def folded(z: bytes) -> int:
+        v, size = int.from_bytes(z, "little"), len(z)
+        while size > n:
+            size //= 2
+            v = (v >> 8 * size) ^ (v & ((1 << 8 * size) - 1))
+        return v
+
+    return (folded(x) ^ folded(y)).bit_count()
+
+
+_ROW = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
+_ROW_DDL = "kind byte, a long, b long, n long, bits binary"
+#: Rows between the stages: a document (a: id, n: size, bits: its sketch if it emits cells), a link (a, b), a bucket's
+#: member (first a: bucket, then a: the bucket's smallest id; b: id), a document whose cells prove nothing.
+DOC, LINK, MEMBER, WEAK = range(4)
+
+
+def _rows(kind: int, a, b, n, bits=None) -> pa.RecordBatch:
     a = pa.array(a, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), a, pa.array(b, pa.int64()), pa.array(n, pa.int64())], schema=_ROW)
+    bits = pa.nulls(len(a), pa.binary()) if bits is None else pa.array(bits, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), a, pa.array(b, pa.int64()), pa.array(n, pa.int64()), bits], schema=_ROW)
 
 
 def _sketches(frequent: np.ndarray, scale: int, words: int):
@@ -156,9 +181,10 @@ def _sketches(frequent: np.ndarray, scale: int, words: int):
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1)
             for lo in range(0, len(ids), 512):
-                sizes, links, members, weak = [], [], [], []
+                sizes, links, members, weak, bits = [], [], [], [], []
                 for doc, x in zip(ids[lo : lo + 512], shingle_sets(texts[lo : lo + 512].to_pylist(), words), strict=True):
                     sizes.append(len(x))
+                    bits.append(None)
                     if doc is None or not len(x):
                         continue
                     same = seen.setdefault((len(x), int(x.sum(dtype=np.uint64)), int(mix(x + np.uint64(77)).sum(dtype=np.uint64))), doc)
@@ -167,9 +193,10 @@ def _sketches(frequent: np.ndarray, scale: int, words: int):
                         continue
                     keys, proof = emitted(x, frequent, scale)
                     members.append((keys, doc, len(x)))
+                    bits[-1] = bit_sketch(x)
                     if not proof:
                         weak.append(doc)
-                yield _rows(DOC, ids[lo : lo + 512], [None] * len(sizes), sizes)
+                yield _rows(DOC, ids[lo : lo + 512], [None] * len(sizes), sizes, bits)
                 if links:
                     yield _rows(LINK, *zip(*links, strict=True), [0] * len(links))
                 if weak:
@@ -186,101 +213,124 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 4 * np.minimum(a, b) >= 3 * np.maximum(a, b)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], passed: bool) -> tuple[list[pa.RecordBatch], list[np.ndarray]]:
-    """Rows to hand on as they are, and the columns of the partition's bucket members, sorted by bucket."""
-    rest, own = [], []
+def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each member of a bucket of two or more: the bucket's smallest id. Other rows pass."""
+    own = []
     for b in batches:
-        if passed:
-            is_member = pa.compute.equal(b.column(0), MEMBER)
-            if (other := b.filter(pa.compute.invert(is_member))).num_rows:
-                rest.append(other)
-            b = b.filter(is_member)
-        own.append([c.to_numpy(zero_copy_only=False) for c in b.columns[passed:]])
-    columns = [np.concatenate(c) for c in zip(*own, strict=True)] if own else [np.zeros(0, np.int64)] * (3 if passed else 4)
-    order = np.argsort(columns[0], kind="stable") if len(columns[0]) else np.zeros(0, np.int64)
-    return rest, [c[order] for c in columns]
-
-
-def _first_tests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each bucket's members against the smallest id; buckets of three or more are kept, one of each member set."""
-    rest, (key, doc, n) = _groups(batches, True)
-    yield from rest
-    if not len(key):
+        is_member = pa.compute.equal(b.column(0), MEMBER)
+        if (other := b.filter(pa.compute.invert(is_member))).num_rows:
+            yield other
+        own.append([c.to_numpy(zero_copy_only=False) for c in b.filter(is_member).columns[1:3]])
+    if not own or not sum(len(x[0]) for x in own):
         return
+    key, doc = (np.concatenate(c) for c in zip(*own, strict=True))
     order = np.lexsort((doc, key))
-    key, doc, n = key[order], doc[order], n[order]
-    once = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
-    key, doc, n = key[once], doc[once], n[once]
+    key, doc = key[order], doc[order]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.append(starts, len(key)))
-    hub = np.repeat(starts, size)
-    test = (hub != np.arange(len(key))) & _near(n, n[hub])
-    if test.any():
-        pairs = np.unique(np.stack([doc[hub[test]], doc[test]]), axis=1)
-        yield _rows(PAIR, pairs[0], pairs[1], np.zeros(pairs.shape[1], np.int64))
-    members = np.add.reduceat(mix(doc.view(np.uint64) + np.uint64(1)), starts)
-    big = np.flatnonzero(size > 2)
-    big = big[np.unique(members[big], return_index=True)[1]]
-    keep = np.repeat(np.isin(np.arange(len(starts)), big, assume_unique=True), size)
-    yield _rows(MEMBER, key[keep], doc[keep], n[keep])
-
-
-def _more_tests(hubs: int):
+    first = np.repeat(doc[starts], np.diff(np.append(starts, len(key))))
+    pairs = np.stack([first, doc])[:, first != doc]
+    if pairs.shape[1]:
+        pairs = np.unique(pairs, axis=1)
+        yield _rows(MEMBER, pairs[0], pairs[1], np.zeros(pairs.shape[1], np.int64))
+
+
+def _words(bits: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), "<u8").reshape(len(bits), -1)
+
+
+def _candidates(n: np.ndarray, comp: np.ndarray, bits: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row the later rows of other components whose size and sketch allow a link; rows in order of sketch length."""
+    size = np.array([len(b) for b in bits])
+    for length in np.unique(size):
+        at = np.flatnonzero(size == length)
+        own = _words([bits[i] for i in at])
+        twice = np.flatnonzero(size == 2 * length)
+        more = _words([bits[i] for i in twice]) if len(twice) else np.zeros((0, 2 * own.shape[1]), "<u8")
+        both = np.concatenate([own, more[:, : own.shape[1]] ^ more[:, own.shape[1] :]])
+        where = np.concatenate([at, twice])
+        sizes, comps = n[where], comp[where]
+        for k in range(len(at)):
+            rest = slice(k + 1, None)
+            hit = np.flatnonzero((comps[rest] != comps[k]) & _near(sizes[rest], sizes[k])) + k + 1
+            if len(hit):
+                apart = np.bitwise_count(both[hit] ^ both[k]).sum(axis=1, dtype=np.int64)
+                hit = hit[7 * apart <= sizes[hit] + sizes[k]]
+            if len(hit):
+                yield int(where[k]), where[hit]
+
+
+_NEXT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())])
+
+
+def _between(most: int):
+    """In each bundle, pairs of different components that may link: ``most`` of each two components at most, and if there are more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """In each bucket, so many members against all in other components; then these members leave it."""
-        _, (key, doc, n, comp) = _groups(batches, False)
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else []
-        pairs = [np.zeros((2, 0), np.int64)]
-        keep = np.zeros(len(key), bool)
-        for lo, hi in zip(starts, [*starts[1:], len(key)], strict=True):
-            d, s, c = doc[lo:hi], n[lo:hi], comp[lo:hi]
-            # Members of the smaller components first: they are few and settle most.
-            counts = dict(zip(*np.unique(c, return_counts=True), strict=True))
-            order = np.lexsort((d, c, [counts[x] for x in c]))
-            d, s, c = d[order], s[order], c[order]
-            k = 0
-            while k < len(d) and k < hubs and (c[k:] != c[k]).any():
-                test = np.flatnonzero((c[k + 1 :] != c[k]) & _near(s[k + 1 :], s[k])) + k + 1
-                if len(test):
-                    pairs.append(np.stack([np.minimum(d[k], d[test]), np.maximum(d[k], d[test])]))
-                k += 1
-            if k < len(d) and (c[k:] != c[k]).any():
-                keep[lo:hi][order[k:]] = True
-        found = np.unique(np.concatenate(pairs, axis=1), axis=1)
-        yield _rows(PAIR, found[0], found[1], np.zeros(found.shape[1], np.int64))
-        yield _rows(MEMBER, key[keep], doc[keep], n[keep])
+        table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
+        if table is None:
+            return
+        bundle, doc, n, comp = (table.column(k).to_numpy() for k in range(4))
+        bits = table.column(4).to_pylist()
+        order = np.lexsort((doc, bundle))
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(bundle[order]) != 0]))
+        for lo, hi in zip(starts, np.append(starts[1:], len(order)), strict=True):
+            own = order[lo:hi]
+            seen: dict[tuple, int] = {}
+            out: list[tuple] = []
+            for i, others in _candidates(n[own], comp[own], [bits[k] for k in own]):
+                for j in others.tolist():
+                    x, y = own[i], own[j]
+                    pair = (min(comp[x], comp[y]), max(comp[x], comp[y]))
+                    seen[pair] = count = seen.get(pair, 0) + 1
+                    if count <= most:
+                        out.append((min(doc[x], doc[y]), max(doc[x], doc[y])))
+            if out:
+                a, b = zip(*out, strict=True)
+                more = any(c > most for c in seen.values())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([more] * len(a))], schema=_NEXT)
 
     return run
 
 
-def _sets(words: int):
+def _linked(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, np.zeros(0, np.uint64)  # pairs come sorted by a, so a set is often that of the row before
         for b in batches:
-            ids, texts = b.column(0), b.column(1)
-            for lo in range(0, len(ids), 256):
-                own = [x.tobytes() for x in shingle_sets(texts[lo : lo + 256].to_pylist(), words)]
-                yield pa.RecordBatch.from_arrays([ids[lo : lo + 256], pa.array(own, pa.binary())], names=["id", "shingles"])
+            keep = []
+            first = b.column(2)
+            for lo in range(0, b.num_rows, 256):
+                for k, y in enumerate(shingle_sets(b.column(3)[lo : lo + 256].to_pylist(), words), lo):
+                    if (text := first[k].as_py()) != last:
+                        last, x = text, next(shingle_sets([text], words))
+                    both = len(x) + len(y) - len(np.union1d(x, y))
+                    keep.append(len(y) > 0 and 100 * both >= 75 * (len(x) + len(y) - both))
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keep = []
-        for x, y in zip(b.column(2), b.column(3), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(x) + len(y) - len(np.union1d(x, y))
-            keep.append(100 * both >= 75 * (len(x) + len(y) - both))
+        sizes = pa.compute.add(b.column(2), b.column(3)).to_pylist()
+        keep = [7 * bits_apart(x.as_py(), y.as_py()) <= n for n, x, y in zip(sizes, b.column(4), b.column(5), strict=True)]
         yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def possible(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bit sketches are near enough for a link."""
+    sketches = found.where((F.col("kind") == DOC) & F.col("bits").isNotNull())
+    x = sketches.select("a", F.col("n").alias("na"), F.col("bits").alias("x"))
+    y = sketches.select(F.col("a").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(_possible, "a long, b long").distinct()
+
+
 def verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) whose documents' full sets link."""
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-ids")
-    texts = docs.join(small(ids), "id", "left_semi")
-    sets = stored(texts.mapInArrow(_sets(words), "id long, shingles binary"), "jaccard-sets")
-    x, y = sets.withColumnsRenamed({"id": "a", "shingles": "x"}), sets.withColumnsRenamed({"id": "b", "shingles": "y"})
-    return pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long").distinct()
+    # Texts travel, not sets: hashes don't compress.
+    texts = stored(docs.join(small(ids), "id", "left_semi").select("id", "text"), "jaccard-texts")
+    x, y = texts.toDF("a", "x"), texts.toDF("b", "y")
+    return pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_linked(words), "a long, b long").distinct()
 
 
 def _frequent(docs: DataFrame, words: int, scale: int) -> np.ndarray:
@@ -304,28 +354,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     while True:
         frequent = _frequent(docs, words, scale)
         keyed = docs.mapInArrow(_sketches(frequent, scale, words), _ROW_DDL)
-        found = stored(keyed.repartition(F.col("a")).mapInArrow(_first_tests, _ROW_DDL), "jaccard")
+        found = stored(keyed.repartition(F.col("a")).mapInArrow(_bundles, _ROW_DDL), "jaccard")
         if found.where(F.col("kind") == WEAK).limit(1).count() == 0:
             break
         scale *= 4  # with more cells fewer shingles share one; with one each, all are proof
-    pairs = stored(found.where(F.col("kind") == PAIR).select("a", "b").distinct(), "jaccard-pairs")
+    bundles = stored(found.where(F.col("kind") == MEMBER).select("a", "b").distinct(), "jaccard-bundles")
+    pairs = stored(possible(found, bundles), "jaccard-pairs")
     links = stored(found.where(F.col("kind") == LINK).select("a", "b").unionByName(verified(docs, pairs, words)), "jaccard-links")
     components = connected(links)
-    members, hubs = found.where(F.col("kind") == MEMBER).select("a", "b", "n"), 8
+    # A bundle's smallest id has been tested against all its members; two members in different components have not.
+    members = stored(bundles.join(bundles.groupBy("a").count().where("count > 1").select("a"), "a", "left_semi"), "jaccard-members")
+    sketches = found.where((F.col("kind") == DOC) & F.col("bits").isNotNull()).select(F.col("a").alias("b"), "n", "bits")
+    most = 16
     while True:
         placed = members.join(components.withColumnRenamed("node", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
         mixed = placed.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("a")
-        open_ = stored(placed.join(mixed, "a", "left_semi").select("a", "b", "n", "component"), "jaccard-open")
-        if open_.limit(1).count() == 0:
-            break
-        tests = stored(open_.repartition(F.col("a")).mapInArrow(_more_tests(hubs), _ROW_DDL), "jaccard-more")
-        pairs = stored(tests.where(F.col("kind") == PAIR).select("a", "b").distinct(), "jaccard-pairs")
-        more = stored(verified(docs, pairs, words), "jaccard-links")
-        members = tests.where(F.col("kind") == MEMBER).select("a", "b", "n")
+        open_ = placed.join(mixed, "a", "left_semi").select("a", "b", "component").join(sketches, "b").select("a", "b", "n", "component", "bits")
+        tests = stored(open_.repartition(F.col("a")).mapInArrow(_between(most), "a long, b long, more boolean"), "jaccard-between")
+        more = stored(verified(docs, tests.select("a", "b").distinct(), words), "jaccard-links")
         if more.limit(1).count():
-            links = links.unionByName(more)
             components = connected(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-        hubs *= 4
+        if tests.where("more").limit(1).count() == 0:
+            break
+        most *= 16
     sizes = found.where(F.col("kind") == DOC).select(F.col("a").alias("node"), F.col("n").alias("n_shingles"))
     return sizes.join(components, "node", "left").select(F.col("node").alias(id_col), "n_shingles", F.coalesce("component", "node").alias("component_id"))
 
