@@ -100,10 +100,11 @@ def hash_half(*parts: Column) -> Column:
     return F.when(first % 2 == 0, "discovery").otherwise("confirmation")
 
 
+def _runs(words: Column, n: int) -> Column:
+    at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda k: F.array_join(F.slice(words, k, F.lit(n)), " "))
+
+
 def ngrams(words: Column, most: int) -> Column:
     """The distinct n-grams of 1 to ``most`` words, joined by spaces."""
-    out = F.array().cast("array<string>")
-    for n in range(1, most + 1):
-        at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        out = F.concat(out, F.transform(at, lambda k, n=n: F.array_join(F.slice(words, k, F.lit(n)), " ")))
-    return F.array_distinct(out)
+    return F.array_distinct(F.concat(*[_runs(words, n) for n in range(1, most + 1)]))

@@ -82,8 +82,9 @@ def read_log(spark: SparkSession, path: str, schema: str | T.StructType, strict:
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    raw = spark.read.schema(T.StructType([*fields, T.StructField("_corrupt_record", T.StringType())])).option("mode", "PERMISSIVE").json(path)
-    return raw.where("_corrupt_record is null").drop("_corrupt_record")
+    # Lines are parsed as a column: the reader's own corrupt-record column can't be counted alone.
+    parsed = spark.read.text(path).select(F.from_json("value", T.StructType([*fields, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    return parsed.where("r is not null and r._bad is null").select("r.*").drop("_bad")
 
 
 def with_origin(df: DataFrame, pattern: str, names: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import arrays, labels, special, stance, text
 from quillspark.operators import checks, compaction, design, models, pairs, phrases, sensitivity, stats
+from quillspark.plans import designs
 from quillspark.sources import tables
 
 
@@ -17,9 +18,11 @@ def one(spark, column, schema="x string", row=(None,)):
 
 def test_design_anchors():
     first = design.latin_hypercube(300, 8)[0]
-    languages = ["english", "french", "german"]
-    assert languages[min(int(first[0] * 3), 2)] == "german"
+    assert designs.LANGUAGES[min(int(first[0] * 14), 13)] == "german"
     assert min(int(first[3] * 5), 4) == 4
+    assert designs.KEY_TYPES[min(int(first[6] * 4), 3)] == "numeric_zero_index"
+    # Rows of one language over eight models, three precisions, six personas.
+    assert sum(min(int(u * 14), 13) == 2 for u in design.latin_hypercube(300, 8)[:, 0]) * 144 == 3024
     assert (design.latin_hypercube(300, 8) == design.latin_hypercube(300, 8)).all()
     for k in range(8):
         assert sorted(np.floor(design.latin_hypercube(300, 8)[:, k] * 300).astype(int)) == list(range(300))
