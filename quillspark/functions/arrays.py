@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, not at each element that a lambda sees."""
+    return F.transform(F.array(value), body)[0]
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
 
@@ -17,8 +22,8 @@ def clean(x: Column) -> Column:
 
 def softmax(x: Column) -> Column:
     """Stable softmax of an array."""
-    raised = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    return F.transform(raised, lambda v: v / total(raised))
+    raised = bound(x, lambda y: F.transform(y, lambda v: F.exp(v - F.array_max(y))))
+    return bound(raised, lambda y: bound(total(y), lambda t: F.transform(y, lambda v: v / t)))
 
 
 def softmax_map(logs: Column) -> Column:
@@ -43,13 +48,17 @@ def dot(p: Column, w: Column) -> Column:
 
 
 def centred(w: Column) -> Column:
-    return F.transform(w, lambda v: v - total(w) / F.size(w))
+    return bound(w, lambda y: bound(total(y) / F.size(y), lambda m: F.transform(y, lambda v: v - m)))
 
 
 def canonical(p: Column, permutation: Column) -> Column:
     """Displayed order undone (reversed for 2 and 3) and renormalised; null if the sum isn't positive."""
     q = F.when(permutation.isin(2, 3), F.reverse(p)).otherwise(p)
-    return F.when(total(q) > 0, F.transform(q, lambda v: v / total(q)))
+    return bound(q, _shares)
+
+
+def _shares(x: Column) -> Column:
+    return bound(total(x), lambda t: F.when(t > 0, F.transform(x, lambda v: v / t)))
 
 
 def variation_distance(p: Column, q: Column) -> Column:
@@ -86,7 +95,7 @@ def nan_mean(*columns: Column) -> Column:
 def candidate_distribution(keys: Column, texts: Column, probs: Column, canon: Column) -> Column:
     """Probabilities in the order of the canonical labels, matched without regard to case; null if none matches."""
     by_label = F.transform(canon, lambda c: F.aggregate(F.zip_with(keys, texts, lambda k, t: F.when(F.lower(F.trim(t)) == F.lower(F.trim(c)), F.try_element_at(probs, k))), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0))))
-    return F.when(total(by_label) > 0, F.transform(by_label, lambda v: v / total(by_label)))
+    return bound(by_label, _shares)
 
 
 def one_hot(answer: Column, n: int) -> Column:

@@ -107,4 +107,5 @@ def _runs(words: Column, n: int) -> Column:
 
 def ngrams(words: Column, most: int) -> Column:
     """The distinct n-grams of 1 to ``most`` words, joined by spaces."""
-    return F.array_distinct(F.concat(*[_runs(words, n) for n in range(1, most + 1)]))
+    # The words are bound once: inside a lambda an expression is worked out for each element.
+    return F.array_distinct(F.flatten(F.transform(F.array(words), lambda w: F.concat(*[_runs(w, n) for n in range(1, most + 1)]))))
