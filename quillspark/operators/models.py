@@ -160,5 +160,5 @@ def adjusted_information(table: DataFrame, a: str, b: str) -> DataFrame:
         down = sum(h) / 2 - expected
         return pd.DataFrame({"n": [int(n)], "mi": [mi], "expected_mi": [expected], "ami": [1.0 if abs(down) < 1e-15 else (mi - expected) / down]})
 
-    return table.groupBy(F.lit(1)).applyInPandas(run, "n long, mi double, expected_mi double, ami double")
+    return table.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "n long, mi double, expected_mi double, ami double")
 

@@ -111,9 +111,9 @@ def x14(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.sha1("text").alias("h"))
 
 
-@query("x15_content_hash", "SELECT doc_id, substr(sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))), 1, 20) AS h FROM documents WHERE lang = 'en'")
+@query("x15_content_hash", "SELECT doc_id, substr(sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))), 1, 20) AS h FROM documents")
 def x15(spark, d):
-    return _docs(spark, d).where("lang = 'en'").select("doc_id", text.content_hash(F.col("text")).alias("h"))
+    return _docs(spark, d).select("doc_id", text.content_hash(F.col("text")).alias("h"))
 
 
 @query("t06_stratified_sample", "SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY sha256('q' || chr(31) || doc_id::VARCHAR)) AS r FROM documents) WHERE r <= 3")
