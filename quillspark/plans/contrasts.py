@@ -30,9 +30,9 @@ def j02(spark, d):
     return rounded(pairs.one_to_one(f, o, KEYS, ("_f", "_o")))
 
 
-@query("j05_pooled_benchmark", sql_rounded(f"WITH {ORDER_SIDES}, m AS (SELECT o_custkey, o_orderstatus, avg(price) AS v FROM os GROUP BY ALL), b AS (SELECT o_custkey, avg(v) FILTER (WHERE o_orderstatus = 'F') AS one, avg(v) FILTER (WHERE o_orderstatus <> 'F') AS others, count(*) FILTER (WHERE o_orderstatus <> 'F') AS n_others FROM m GROUP BY 1) SELECT *, one - others AS difference FROM b WHERE one IS NOT NULL AND others IS NOT NULL", "one others difference", 4))
+@query("j05_pooled_benchmark", sql_rounded(f"WITH {ORDER_SIDES}, m AS (SELECT o_custkey, o_orderstatus, avg(price) AS v FROM os GROUP BY ALL), b AS (SELECT o_custkey, avg(v) FILTER (WHERE o_orderstatus = 'F') AS one, avg(v) FILTER (WHERE o_orderstatus <> 'F') AS others, count(*) FILTER (WHERE o_orderstatus <> 'F') AS n_others FROM m GROUP BY 1) SELECT *, one - others AS difference FROM b WHERE one IS NOT NULL AND others IS NOT NULL", "one others difference", 8))
 def j05(spark, d):
-    return rounded(pairs.pooled_benchmark(order_sides(spark, d), ["o_custkey"], F.col("o_orderstatus"), "F", "price"), 4)
+    return rounded(pairs.pooled_benchmark(order_sides(spark, d), ["o_custkey"], F.col("o_orderstatus"), "F", "price"), 8)
 
 
 @query("j06_each_against_reference", sql_rounded(f"WITH {ORDER_SIDES}, m AS (SELECT o_orderpriority, o_orderstatus, avg(price) AS v FROM os GROUP BY ALL) SELECT a.o_orderpriority, a.o_orderstatus, a.v - b.v AS difference FROM m a JOIN m b ON a.o_orderpriority = b.o_orderpriority AND b.o_orderstatus = 'F' WHERE a.o_orderstatus <> 'F'", "difference"))
