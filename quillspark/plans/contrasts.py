@@ -245,9 +245,9 @@ def st11(spark, d):
     return rounded(stats.cluster_contrast(_pairs(spark, d), ["o_orderpriority"], ["o_custkey"], F.col("price_right") - F.col("price_left")), 4)
 
 
-def _resampled(spark, d, kernel):
+def _resampled(spark, d, kernel, cluster=()):
     rows = _pairs(spark, d).withColumn("cluster", F.col("o_custkey") % 97)
-    return rounded(stats.resampled(rows, ["o_orderpriority"], ["cluster"], F.col("large_right") - F.col("large_left"), *kernel))
+    return rounded(stats.resampled(rows, ["o_orderpriority"], cluster, F.col("large_right") - F.col("large_left"), *kernel))
 
 
 @query("st16_bayes_bootstrap")
@@ -262,13 +262,12 @@ def st17(spark, d):
 
 @query("st20_cluster_bootstrap")
 def st20(spark, d):
-    return _resampled(spark, d, stats.bootstrap_mean())
+    return _resampled(spark, d, stats.bootstrap_mean(), ["cluster"])
 
 
 @query("st21_bootstrap_of_scores")
 def st21(spark, d):
-    rows = predictions(spark, d).withColumn("cluster", F.col("doc_id") % 50)
-    return rounded(stats.resampled(rows, ["model"], ["cluster"], F.col("p"), *stats.bootstrap_mean()))
+    return rounded(stats.resampled(predictions(spark, d), ["model"], [], F.col("p"), *stats.bootstrap_mean()))
 
 
 @query("nq18_lowest_rate_per_model", f"WITH {PREDICTIONS}, m AS (SELECT model, target, avg((p >= 0.5)::INT) AS rate FROM pred GROUP BY ALL), w AS (SELECT model, target, row_number() OVER (PARTITION BY model ORDER BY rate, target) AS r FROM m) SELECT target, count(*) AS n FROM w WHERE r = 1 GROUP BY 1")
