@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of two or three longs that may be broadcast (about 32 MB); beyond it joins shuffle.
@@ -46,6 +46,22 @@ def release() -> None:
             return
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of a stored table if it has at most ``rows`` rows; else leave the join to shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """Hint a broadcast of a stored table of fixed-size rows if it has at most ``rows``; else leave the join to shuffle.
+
+    Rows of no fixed size give their bytes as ``weight``; of these, 16 a row of the bound are allowed.
+    """
+    n, extra = df.agg(F.count("*"), F.sum(F.lit(0) if weight is None else weight)).first()
+    return F.broadcast(df) if n <= rows and (extra or 0) <= 16 * rows else df
+
+
+def free(taken: list[str], *names: str) -> list[str]:
+    """Names for own columns that no column of a table has, whatever its case."""
+    held = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out

@@ -1,6 +1,7 @@
 """The text operators against brute force on small fixtures, with awkward rows among them."""
 
 import io
+import itertools
 import random
 import re
 import zlib
@@ -308,3 +309,80 @@ def test_media_copies(spark):
     df = spark.createDataFrame([(i, bytearray(media.write_pgm(np.rint(np.clip(x, 0, 255))))) for i, x in rows] + [(8, None), (9, bytearray(b"no image")), (None, None)], "media_id long, image binary")
     got = {r["media_id"]: r["component_id"] for r in media.copies(df).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 6, 8: 8, 9: 9, None: None}
+
+
+def reached(x, c, edits):
+    """(place in c, character of x) after 0 to ``edits`` edits, each as late as possible."""
+    front, out = {(0, 0)}, set()
+    for _ in range(edits + 1):
+        slid = set()
+        for i, j in front:
+            while i < len(x) and j < len(c) and x[i] == c[j]:
+                i, j = i + 1, j + 1
+            slid.add((i, j))
+        out |= {(j, x[i : i + 1]) for i, j in slid}
+        front = {(i + a, j + b) for i, j in slid for a, b in ((1, 1), (1, 0), (0, 1)) if i + a <= len(x) and j + b <= len(c)}
+    return out
+
+
+def test_near_lines_share_a_place_of_any_pivot(spark):
+    """What lets large groups part: exhaustive over short strings, and the expression equals the plain walk."""
+    words_ = ["".join(w) for n in range(6) for w in itertools.product("ab", repeat=n)] + ["".join(w) for w in itertools.product("abc", repeat=3)]
+    apart = {(x, y): levenshtein(x, y) for x in words_ for y in words_}
+    for c in words_:
+        at = {x: reached(x, c, 2) for x in words_}
+        assert all(at[x] & at[y] for (x, y), d in apart.items() if d <= 2 < apart[y, c] and c not in (x, y))
+    rng, rows = random.Random(8), []
+    for _ in range(200):
+        c = "".join(rng.choice("abé") for _ in range(rng.randrange(0, 25)))
+        rows.append((c, edited(c, rng.randrange(0, 5), rng)))
+    got = spark.createDataFrame(rows, "c string, x string").select("c", "x", lines._reached(F.col("x"), F.col("c"), 2).alias("at")).collect()
+    assert all({(f["j"], f["own"]) for f in r["at"]} == reached(r["x"], r["c"], 2) for r in got)
+
+
+def test_line_dedup_parts_large_groups(spark):
+    """Thousands of lines that share segments: variants by a word, by a letter, and by their second half."""
+    rng = random.Random(5)
+    base = words(40, 77)
+    found = [base]
+    for k in range(1500):
+        own = base.split()
+        own[rng.randrange(len(own))] = "".join(rng.choice("abcdefgh") for _ in range(7))
+        found.append(" ".join(own))
+    found += [edited(base, rng.randrange(1, 4), rng) for _ in range(300)]
+    found += [base[: len(base) // 2] + words(20, 100 + k) for k in range(600)]
+    found += [edited(rng.choice(found), rng.randrange(1, 4), rng) for _ in range(300)]
+    rng.shuffle(found)
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(found)], DOCS)
+    gone = {r["doc_id"] for r in lines.dedup_lines(df).collect() if r["n_dropped"]}
+
+    counts_ = [np.bincount([ord(c) % 64 for c in t], minlength=64) for t in found]
+    matrix = np.stack(counts_)
+    want = set()
+    for i in range(len(found)):
+        near = np.flatnonzero(np.abs(matrix[:i] - matrix[i]).sum(1) <= 4)
+        if any(found[j] == found[i] or within(found[j], found[i], 2) for j in near):
+            want.add(i)
+    assert gone == want
+
+
+def within(a, b, k):
+    """Whether two strings are within k edits: the walk reaches both ends."""
+    front = {(0, 0)}
+    for _ in range(k + 1):
+        slid = set()
+        for i, j in front:
+            while i < len(a) and j < len(b) and a[i] == b[j]:
+                i, j = i + 1, j + 1
+            slid.add((i, j))
+        if (len(a), len(b)) in slid:
+            return True
+        front = {(i + x, j + y) for i, j in slid for x, y in ((1, 1), (1, 0), (0, 1)) if i + x <= len(a) and j + y <= len(b)}
+    return False
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "one line that is long enough to count here\nx", "s")], DOCS)
+    for name in ("doc", "th", "lost", "_gone", "h1", "line", "place"):
+        got = lines.dedup_lines(df.withColumn(name, F.lit("mine"))).collect()
+        assert got[0][name] == "mine" and got[0]["n_lines"] == 2
