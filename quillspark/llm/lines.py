@@ -219,7 +219,7 @@ def _parted(groups: DataFrame, texts: DataFrame, max_edits: int) -> tuple[DataFr
     # Only lines before one that is still open can be its witness.
     open_ = split.groupBy("key").agg(F.min("place").alias("lo"), F.max(F.when(~F.col("near"), F.col("place"))).alias("hi")).where("lo < hi").select("key", "hi")
     kept = split.join(small(stored(open_, "line-open")), "key").where("place <= hi")
-    return kept.select("key", F.lit(False).alias("probe"), "h1", "place"), split.where("near").select("h1").distinct()
+    return kept.select("key", "h1", "place"), split.where("near").select("h1").distinct()
 
 
 def near_later(lines: DataFrame, max_edits: int, min_chars: int, most: int = 64) -> DataFrame:
@@ -228,7 +228,7 @@ def near_later(lines: DataFrame, max_edits: int, min_chars: int, most: int = 64)
     met = _met(own.select("h1", "place", F.inline(_keys(F.col("line"), F.col("n"), max_edits, min_chars))), "keys")
     ids = stored(met.select("h1").distinct(), "line-ids")
     texts = stored(own.join(small(ids), "h1", "left_semi").select("h1", F.inline(F.array(F.struct("line", "n", _letters(F.col("line"), F.col("n")).alias("letters"))))), "line-texts")
-    names, settled = ("key", "probe", "h1", "place"), None
+    names, settled = ("key", "h1", "place"), None
     members = met.where(F.col("members") <= most).select(*names)
     if met.where(F.col("members") > most).limit(1).count():
         second = _met(_refined(met.where(F.col("members") > most), texts, max_edits), "second")
@@ -236,14 +236,17 @@ def near_later(lines: DataFrame, max_edits: int, min_chars: int, most: int = 64)
         parts, settled = _parted(second.where(large), texts, max_edits)
         settled = stored(settled, "line-settled")
         members = members.unionByName(second.where(~large).select(*names)).unionByName(parts)
-    members = stored(members.join(texts.select("h1", "n", "letters"), "h1"), "line-members")
+    # A line has a bounded number of keys; two lines meet in the least of those that they share, and there alone.
+    own_keys = members.groupBy("h1", "place").agg(F.collect_set("key").alias("keys"))
+    members = stored(own_keys.join(texts.select("h1", "n", "letters"), "h1"), "line-members")
     if settled is not None:
         members = members.join(small(settled.withColumn("settled", F.lit(True))), "h1", "left")
     else:
         members = members.withColumn("settled", F.lit(None).cast("boolean"))
-    x, y = (members.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("h1", "probe", "place", "n", "letters", "settled")]) for side in ("x", "y"))
-    wanted = (F.col("place_x") < F.col("place_y")) & ~(F.col("probe_x") & F.col("probe_y")) & (F.abs(F.col("n_x") - F.col("n_y")) <= max_edits)
-    paired = x.join(y.where("settled_y is null"), (x["key"] == y["key"]) & wanted & (_letters_apart(F.col("letters_x"), F.col("letters_y")) <= 2 * max_edits))
+    x, y = (members.select(F.explode("keys").alias("key"), *[F.col(c).alias(f"{c}_{side}") for c in members.columns]) for side in ("x", "y"))
+    wanted = (F.col("place_x") < F.col("place_y")) & (F.abs(F.col("n_x") - F.col("n_y")) <= max_edits) & (_letters_apart(F.col("letters_x"), F.col("letters_y")) <= 2 * max_edits)
+    once_ = x["key"] == F.array_min(F.array_intersect("keys_x", "keys_y"))
+    paired = x.join(y.where("settled_y is null"), (x["key"] == y["key"]) & wanted & once_)
     pairs = stored(paired.select(F.col("h1_x").alias("a"), F.col("h1_y").alias("b")).distinct(), "line-pairs")
     p, q = texts.select(F.col("h1").alias("a"), F.col("line").alias("x")), texts.select(F.col("h1").alias("b"), F.col("line").alias("y"))
     near = pairs.join(p, "a").join(q, "b").where(banded_distance(F.col("x"), F.col("y"), max_edits) <= max_edits).select(F.col("b").alias("h1"))
