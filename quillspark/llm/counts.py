@@ -9,7 +9,8 @@ text as a whole, at the cost of the regions.
 
 Defined cases: null or empty text has no tokens and takes insertions at 0; edits may touch or repeat, in order of
 their start, and must lie in the text and not overlap; repeated rows are counted each; an empty table gives no
-rows; other columns are ignored.
+rows; other columns are ignored. A text without single spaces between other characters (unspaced scripts) is one
+leaf, which each edit encodes again.
 """
 
 from __future__ import annotations
@@ -94,10 +95,15 @@ class CountTree:
             last += 1
             at += len(self.leaves[last])
         old = "".join(self.leaves[first : last + 1])
-        region = leaves_of(old[: start - begins] + new + old[end - begins :], self.leaf_chars)
+        region, room = leaves_of(old[: start - begins] + new + old[end - begins :], self.leaf_chars), last + 1 - first
+        # The number of leaves stays, with empty ones or a longer last one, unless that would grow far too long.
+        if len(region) < room:
+            region += [""] * (room - len(region))
+        elif len(region) > room and len(rest := "".join(region[room - 1 :])) <= 4 * self.leaf_chars:
+            region[room - 1 :] = [rest]
         tokens = [self.count(x) for x in region]
         self.encoded += len(region)
-        if len(region) == last + 1 - first:
+        if len(region) == room:
             self.leaves[first : last + 1] = region
             for k, (x, n) in enumerate(zip(region, tokens, strict=True), self.size + first):
                 self.chars[k], self.tokens[k] = len(x), n
@@ -129,8 +135,13 @@ _DIGITS = re.compile(r"\d{6,}")
 def redactions(text: str) -> list[Edit]:
     """The query's edits: mail addresses and long numbers by a placeholder."""
     out = [(m.start(), m.end(), "<mail>") for m in _MAIL.finditer(text)] if "@" in text else []
-    inside = [(a, b) for a, b, _ in out]
-    return out + [(m.start(), m.end(), "<number>") for m in _DIGITS.finditer(text) if not any(a < m.end() and m.start() < b for a, b in inside)]
+    numbers, k, n = [], 0, len(out)
+    for m in _DIGITS.finditer(text):  # both lists are in order
+        while k < n and out[k][1] <= m.start():
+            k += 1
+        if k == n or out[k][0] >= m.end():
+            numbers.append((m.start(), m.end(), "<number>"))
+    return out + numbers
 
 
 def count_edited(docs: DataFrame, edits_of: Callable[[str], list[Edit]] = redactions, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = 256, tokenizer: str | None = None) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 UNKNOWN = "und"
 _CHUNK = 1 << 17
+_ALL = 1 << 62
 _letter: list[np.ndarray] = []
 
 
@@ -166,22 +167,29 @@ def _remainder(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows_per_language: int = 500, chars: int = 4000, most_languages: int = 400) -> Model:
+def share_of(wanted: int, count: int) -> int:
+    """Below which 62-bit hashes a row of ``count`` is drawn, for about ``wanted`` of them."""
+    return _ALL * min(wanted, count) // count
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows_per_language: int = 500, chars: int = 4000, sample_rows: int = 200_000, most_languages: int = 10_000) -> Model:
     """A model from labelled rows whose crc32(id) mod 4 isn't 2.
 
-    The sample: about ``rows_per_language`` rows of each label, by a hash of the id, of each text a random
-    window of ``chars`` characters; labels beyond the ``most_languages`` most frequent are not learned.
+    The sample: about ``rows_per_language`` rows of each label (fewer where ``sample_rows`` over all labels would be
+    exceeded), by a hash of the id, of each text a random window of ``chars`` characters; labels beyond the
+    ``most_languages`` most frequent are not learned.
     """
     rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (_remainder(id_col) != 2))
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
     counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most_languages).collect()
     if not counts:
         return Model([], np.zeros((3, 0), np.float32), np.zeros(0), np.zeros(3, np.float32))
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["label"]), F.lit(int(min(1.0, rows_per_language / r["count"]) * 1_000_000)))])
-    drawn = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000))
+    each = max(1, min(rows_per_language, sample_rows // len(counts)))
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["label"]), F.lit(share_of(each, r["count"])))])
+    drawn = F.xxhash64(F.lit("sample"), "id").bitwiseAND(F.lit(_ALL - 1))
     begin = F.pmod(F.xxhash64(F.lit("window"), "id"), F.greatest(F.lit(1), F.char_length("text") - chars)).cast("int") + 1
     sample = rows.where(drawn < F.try_element_at(share, F.col("label"))).select("id", F.substr("text", begin, F.lit(chars)).alias("text"), "label")
-    got = sample.limit(2 * rows_per_language * len(counts)).toPandas().sort_values(["id", "text"])
+    got = sample.limit(2 * each * len(counts)).toPandas().sort_values(["id", "text"])
     return train(got["text"].tolist(), got["label"].tolist())
 
 

@@ -2,34 +2,23 @@
 
 from __future__ import annotations
 
-import importlib
+import corpus_pipeline
+from quillspark.llm import ann, counts, jaccard, langid, lines, media, packing, pieces, urls, warc
 
-#: Query name: module of this subpackage. A module may hold ORACLE_SQL for its query.
-MODULES = {
-    "op1_url_filters": "urls",
-    "op2_packing": "packing",
-    "op3_token_counts": "counts",
-    "op4_line_dedup": "lines",
-    "op5_language_id": "langid",
-    "op6_pieces": "pieces",
-    "op7_media_copies": "media",
-    "op8_nearest": "ann",
-    "op9_jaccard": "jaccard",
-    "op10_warc": "warc",
-}
+#: Modules of the ten operators, in order. A module may hold ORACLE_SQL for its query.
+MODULES = (urls, packing, counts, lines, langid, pieces, media, ann, jaccard, warc)
 
 
-def _module(name: str):
-    return importlib.import_module(f"quillspark.llm.{MODULES[name]}")
+def _name(k: int, module) -> str:
+    return next(x for x in vars(module) if x.startswith(f"op{k}_"))
 
 
-def queries() -> dict:
-    out = {name: getattr(_module(name), name) for name in MODULES}
-    import corpus_pipeline
+NAMES = {_name(k, module): module for k, module in enumerate(MODULES, 1)}
+
 
-    return out | {"pipeline": corpus_pipeline.run}
+def queries() -> dict:
+    return {name: getattr(module, name) for name, module in NAMES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: getattr(_module(name), "ORACLE_SQL", None) for name in MODULES}
-    return {name: sql for name, sql in found.items() if sql}
+    return {name: sql for name, module in NAMES.items() if (sql := getattr(module, "ORACLE_SQL", None))}

@@ -2,8 +2,7 @@
 
 Lists are histories: dated entries that add a key to a list or remove it. Entries become validity intervals
 (from an add up to the next remove), and every capture is judged by the entries that were active when it was
-fetched. Keys name a domain with all below it (``d:example.com``), a host with a path of at most four segments
-and all below it (``p:example.com/a/b``), or one URL without its fragment (``u:example.com/a?b``).
+fetched. Keys name a domain with all below it (``d:example.com``), a host with a path of any depth and all below it (``p:example.com/a/b``), or one URL without its fragment (``u:example.com/a?b``).
 
 The as-of join is an equi-join on the key and a span of days, into which intervals are split, with the interval
 as a further condition: work follows the matches, and a key that a third of all captures share is a skewed join
@@ -14,7 +13,7 @@ longer key; among equals an allowing list wins, then the list's name that sorts
 Defined cases: a null URL, or one without scheme and host or with a host of over 253 characters, matches nothing;
 a null time matches nothing; on a day with an add and a remove of one key the add holds; removing what isn't
 listed does nothing; entries with nulls are ignored; repeated captures each keep their row; other columns are
-carried, and new ones replace those of the same name; empty tables give no rows, or no matches.
+carried whatever their names, and new ones replace those of the same name; empty tables give no rows, or no matches.
 """
 
 from __future__ import annotations
@@ -23,8 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Days of a span; path segments of a key.
-SPAN, SEGMENTS = 64, 4
+from quillspark.llm.common import free
+
+#: Days of a span.
+SPAN = 64
 _URL = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^?#]*)(\?[^#]*)?"
 NEW = ("host", "verdict", "matched_key", "matched_list", "listed_from", "n_active")
 
@@ -35,13 +36,13 @@ def host_of(url: Column) -> Column:
     return F.when((F.length(host) > 0) & (F.length(host) <= 253), host)
 
 
-def keys_of(url: Column, host: Column) -> Column:
-    """All keys that may list a URL."""
+def keys_of(url: Column, host: Column, deepest: int) -> Column:
+    """All keys that may list a URL, where no listed path has more than ``deepest`` segments."""
     labels, path = F.split(host, r"\."), F.regexp_extract(url, _URL, 2)
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat(F.lit("d:"), F.array_join(F.slice(labels, k, F.size(labels)), ".")))
     segments = F.filter(F.split(path, "/"), lambda x: x != "")
-    depth = F.least(F.size(segments), F.lit(SEGMENTS))
-    paths = F.transform(F.slice(F.sequence(F.lit(1), F.lit(SEGMENTS)), F.lit(1), depth), lambda k: F.concat(F.lit("p:"), host, F.lit("/"), F.array_join(F.slice(segments, F.lit(1), k), "/")))
+    depth = F.least(F.size(segments), F.lit(deepest))
+    paths = F.transform(F.slice(F.sequence(F.lit(1), F.lit(max(1, deepest))), F.lit(1), depth), lambda k: F.concat(F.lit("p:"), host, F.lit("/"), F.array_join(F.slice(segments, F.lit(1), k), "/")))
     return F.concat(domains, paths, F.array(F.concat(F.lit("u:"), host, path, F.regexp_extract(url, _URL, 3))))
 
 
@@ -59,10 +60,12 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", day_col: str = "fetched") -> DataFrame:
     """``captures`` with :data:`NEW`: verdict ``allow``, ``block`` or ``none``, what decided it, and the active entries' number."""
-    rows = captures.select(*[c for c in captures.columns if c not in NEW])
+    rows = captures.select(*[F.col(f"`{c}`") for c in captures.columns if c not in NEW])
+    u, d, best, active = free([*rows.columns, *NEW], "u", "d", "best", "active")
     seen = rows.select(F.col(url_col).cast("string").alias("_u"), F.col(day_col).cast("date").alias("_d")).where("_u is not null and _d is not null").distinct()
+    deepest = entries.where("key like 'p:%'").agg(F.max(F.size(F.filter(F.split(F.substr("key", F.lit(3)), "/"), lambda x: x != "")) - 1)).first()[0] or 0
     first_day, last_day = seen.agg(F.min("_d"), F.max("_d")).first()
-    probes = seen.withColumn("host", host_of(F.col("_u"))).where("host is not null").select("_u", "_d", F.explode(F.array_distinct(keys_of(F.col("_u"), F.col("host")))).alias("key"), F.floor(F.unix_date("_d") / SPAN).alias("span"))
+    probes = seen.withColumn("host", host_of(F.col("_u"))).where("host is not null").select("_u", "_d", F.explode(F.array_distinct(keys_of(F.col("_u"), F.col("host"), deepest))).alias("key"), F.floor(F.unix_date("_d") / SPAN).alias("span"))
     until = F.coalesce(F.date_sub("until", 1), F.lit(last_day).cast("date"))
     begins, ends = F.greatest("since", F.lit(first_day).cast("date")), F.least(until, F.lit(last_day).cast("date"))
     valid = intervals(entries).withColumns({"since_day": begins, "last": ends}).where("since_day <= last")
@@ -70,17 +73,17 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", d
     met = probes.join(valid, (probes["key"] == valid["key"]) & (probes["span"] == valid["span"]) & (F.col("_d") >= F.col("since")) & (F.col("until").isNull() | (F.col("_d") < F.col("until"))))
     rank = F.struct(F.substr(valid["key"], F.lit(1), F.lit(1)).alias("kind"), F.length(valid["key"]).alias("size"), "allow", F.col("list"), valid["key"].alias("key"), "since")
     # By letter, u comes after p and p after d: the more specific kind is the larger.
-    verdicts = met.groupBy("_u", "_d").agg(F.max(rank).alias("top"), F.count("*").alias("n_active"))
-    top = F.col("top")
-    joined = rows.join(verdicts, (F.col(url_col).cast("string") == F.col("_u")) & (F.col(day_col).cast("date") == F.col("_d")), "left")
+    verdicts = met.groupBy(F.col("_u").alias(u), F.col("_d").alias(d)).agg(F.max(rank).alias(best), F.count("*").alias(active))
+    top = F.col(best)
+    joined = rows.join(verdicts, (F.col(url_col).cast("string") == F.col(u)) & (F.col(day_col).cast("date") == F.col(d)), "left")
     return joined.select(
-        *[rows[c] for c in rows.columns],
+        *[F.col(f"`{c}`") for c in rows.columns],
         host_of(F.col(url_col).cast("string")).alias("host"),
         F.when(top.isNull(), "none").when(top["allow"], "allow").otherwise("block").alias("verdict"),
         top["key"].alias("matched_key"),
         top["list"].alias("matched_list"),
         top["since"].alias("listed_from"),
-        F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"),
+        F.coalesce(active, F.lit(0)).cast("long").alias("n_active"),
     )
 
 
@@ -122,7 +125,7 @@ e AS ({" UNION ".join(f"SELECT {name} list, {allow} allow, {key} AS key, {action
 s AS (SELECT list, allow, key, day, bool_or(action = 'add') listed, lead(day) OVER (PARTITION BY list, key ORDER BY day) until FROM e GROUP BY list, allow, key, day),
 k AS (SELECT DISTINCT url, fetched, unnest(list_concat(list_concat(
       list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: 'd:' || array_to_string(list_slice(string_split(host, '.'), i, 999), '.')),
-      list_transform(range(1, least(4, len(list_filter(string_split(path, '/'), lambda x: x <> ''))) + 1), lambda i: 'p:' || host || '/' || array_to_string(list_slice(list_filter(string_split(path, '/'), lambda x: x <> ''), 1, i), '/'))),
+      list_transform(range(1, len(list_filter(string_split(path, '/'), lambda x: x <> '')) + 1), lambda i: 'p:' || host || '/' || array_to_string(list_slice(list_filter(string_split(path, '/'), lambda x: x <> ''), 1, i), '/'))),
       ['u:' || host || path || query])) AS key FROM p WHERE host IS NOT NULL),
 f AS (SELECT s.list, s.allow, s.key, s.day, s.until, (SELECT max(t.day) FROM s t WHERE t.list = s.list AND t.key = s.key AND t.listed AND t.day <= s.day
         AND NOT coalesce((SELECT u.listed FROM s u WHERE u.list = t.list AND u.key = t.key AND u.day < t.day ORDER BY u.day DESC LIMIT 1), false)) since FROM s WHERE s.listed),

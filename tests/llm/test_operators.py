@@ -144,6 +144,23 @@ def test_ids_equal_the_library(text):
     assert own.ids(text) == own.by_library(text)
 
 
+def test_ids_equal_the_library_on_whole_texts(spark):
+    own = tokens.encoder(tokens.default_tokenizer())
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for text in [*texts, " " * 1_000_000, "a" + "\n" * 1_000_000 + "b", "\t" * 300_000 + " x"]:
+        assert own.ids(text) == own.by_library(text)
+
+
+def test_redactions_of_a_long_text_are_quick():
+    text = "".join(f"name{k}@mail.org 1234567{k} " for k in range(100_000))
+    found = counts.redactions(text)
+    assert len(found) == 200_000 and counts.redactions("a@b.co 12345678 x123456@y.org") == [(0, 6, "<mail>"), (16, 29, "<mail>"), (7, 15, "<number>")]
+
+
+def test_share_of_a_large_language():
+    assert 0 < langid.share_of(500, 10**12) * 10**12 / langid._ALL <= 501 and langid.share_of(500, 20) == langid._ALL
+
+
 def test_counts_after_edits():
     own, rng = tokens.encoder(tokens.default_tokenizer()), random.Random(1)
     for text in ["", "a", "  \n\n x   y", "one two  three\n\n\nfour 'll don't", words(200, 8), "é" * 50 + " ü ß"]:
@@ -297,6 +314,14 @@ def test_url_filters(spark):
     assert got == sorted((i, v) for i, _, _, v in urls_)
 
 
+def test_url_filters_deep_paths_and_clashing_columns(spark):
+    e = spark.createDataFrame([("x", False, "p:b.com/1/2/3/4/5/6/7/8/9", "add")], "list string, allow boolean, key string, action string").withColumn("day", F.to_date(F.lit("2024-01-01")))
+    names = ["top", "best", "u", "d", "_u", "_d", "key", "span", "active", "since", "list"]
+    rows = [(k, u, "2024-02-01", *names) for k, u in enumerate(["http://b.com/1/2/3/4/5/6/7/8/9", "http://b.com/1/2/3/4/5/6/7/8/9/x?q", "http://b.com/1/2/3/4/5/6/7/8", "http://b.com"])]
+    got = urls.filter_urls(spark.createDataFrame(rows, ["id", "url", "fetched", *names]), e).orderBy("id").collect()
+    assert [r["verdict"] for r in got] == ["block", "block", "none", "none"] and all(r[n] == n for r in got for n in names)
+
+
 def test_media_copies(spark):
     rng = np.random.default_rng(2)
 
