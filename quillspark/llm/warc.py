@@ -3,9 +3,13 @@
 *Write.* Each partition's records become one archive of WARC/1.1 response and revisit records in a single gzip
 stream, in the shared folder. *Normalise.* A monolithic archive is inflated once, as a stream; every record is
 written as its own gzip member to a second file, beside it a JSON-lines index of offset, length, record id, type and
-target. The monolithic file goes once the second is complete. *Read.* The index is split evenly over tasks,
-and a task seeks to its records. Writing is idempotent: names follow the partition, and files appear by rename,
-so a task that runs again replaces what it wrote.
+target. The monolithic file goes once the second is complete. *Read.* Spans of records, each with its byte range in
+the index, are dealt evenly over tasks, and a task seeks to its records. Every attempt of a task writes files of its
+own name, and only those of the attempt that Spark commits are listed, so a task that runs again does no harm.
+
+A record's id holds its page id and payload digest; a revisit's, and that of every record that no revisit refers to,
+its place too, so ids are unique (but for rows that repeat both page id and payload of a response), and what a revisit
+refers to is the id of a record.
 
 Which of the records with one payload is the response (the largest page_id) is settled in DataFrame operations
 on digests before writing; payloads below ``least_revisit`` bytes are never revisits.
@@ -49,21 +53,24 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, row: int) -> bytes:
-    """One record with its two closing line ends; revisits hold the digest and length, not the payload."""
+def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, place: str | None) -> bytes:
+    """One record with its two closing line ends; revisits hold the digest and length, not the payload.
+
+    ``place`` makes the id of a record unique that no other refers to.
+    """
     revisit = refers_to is not None
-    body = b"" if revisit else payload
+    body, digest = b"" if revisit else payload, digest_of(payload)
     fields = {
         "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": f"<{_NAME}{'null' if page_id is None else page_id}/{row}>",
+        "WARC-Record-ID": f"<{_NAME}{'null' if page_id is None else page_id}/{digest}{'' if place is None else '/' + place}>",
         "WARC-Date": "1970-01-01T00:00:00Z",
         "WARC-Target-URI": "".join(c for c in url if c not in "\r\n"),
-        "WARC-Payload-Digest": f"sha1:{digest_of(payload)}",
+        "WARC-Payload-Digest": f"sha1:{digest}",
         "X-Payload-Length": str(len(payload)),
     }
     if revisit:
         fields["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        fields["WARC-Refers-To"] = f"<{_NAME}{refers_to}>"
+        fields["WARC-Refers-To"] = f"<{_NAME}{refers_to}/{digest}>"
     fields |= {"Content-Type": "text/html", "Content-Length": str(len(body))}
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n"
     return head.encode("utf-8", "surrogatepass") + body + b"\r\n\r\n"
@@ -126,17 +133,26 @@ def records(source: BinaryIO) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
         yield fields, head.lstrip(b"\r\n"), block
 
 
-def normalise(source: BinaryIO, target: BinaryIO, index: BinaryIO) -> int:
-    """Rewrite a monolithic gzip stream with a member a record, and its index; the number of records."""
-    at = count = 0
+def normalise(source: BinaryIO, target: BinaryIO, index: BinaryIO, span: int = 2000) -> tuple[int, list[tuple[int, int]]]:
+    """Rewrite a monolithic gzip stream with a member a record, and its index.
+
+    The number of records, and the index's byte range of each ``span`` of them.
+    """
+    at = count = told = 0
+    spans: list[tuple[int, int]] = []
     for fields, head, block in records(source):
         member = gzip.compress(head + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
         target.write(member)
         entry = {"offset": at, "length": len(member), "id": fields["warc-record-id"], "type": fields["warc-type"], "target": fields["warc-target-uri"]}
-        index.write(json.dumps(entry).encode() + b"\n")
+        line = json.dumps(entry).encode() + b"\n"
+        index.write(line)
+        if count % span == 0:
+            spans.append((told, told))
+        told += len(line)
+        spans[-1] = (spans[-1][0], told)
         at += len(member)
         count += 1
-    return count
+    return count, spans
 
 
 def read_member(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -155,48 +171,48 @@ def decided(pages: DataFrame, least_revisit: int = 0) -> DataFrame:
     rows = rows.withColumn("key", F.sha2("payload", 256)).withColumn("size", F.length("payload").cast("long"))
     top = rows.where(F.col("size") >= least_revisit).groupBy("key", "size").agg(F.max("page_id").alias("largest"), F.count("*").alias("copies")).where("copies > 1 and largest is not null")
     shared = small(stored(top.select("key", "size", "largest"), "warc-shared"))
-    return rows.join(shared, ["key", "size"], "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest")).alias("refers"))
+    largest = F.col("page_id").eqNullSafe(F.col("largest"))
+    return rows.join(shared, ["key", "size"], "left").select("page_id", "url", "payload", F.when(~largest, F.col("largest")).alias("refers"), (F.col("largest").isNotNull() & largest).alias("is_referred"))
 
 
-def write_archives(rows: DataFrame, folder: str) -> DataFrame:
-    """Write normalised archives of ``decided`` rows; (name, records) of each."""
+def write_archives(rows: DataFrame, folder: str, span: int = 2000) -> DataFrame:
+    """Write normalised archives of ``decided`` rows; the files' name and the index's byte range of each span of records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(folder)
         context = TaskContext.get()
-        name, own = f"part-{context.partitionId():06d}", f"part-{context.partitionId():06d}.{context.taskAttemptId()}"
+        name = f"part-{context.partitionId():06d}.{context.taskAttemptId()}"
         fs.create_dir(base)
         count = 0
-        with fs.open_output_stream(f"{base}/{own}.mono") as raw:
+        with fs.open_output_stream(f"{base}/{name}.mono") as raw:
             engine = zlib.compressobj(1, zlib.DEFLATED, 31)
             for b in batches:
-                for page, url, payload, refers in zip(*(b.column(k) for k in range(4)), strict=True):
-                    raw.write(engine.compress(record(page.as_py(), url.as_py(), payload.as_py(), refers.as_py(), count)))
+                for page, url, payload, refers, referred in zip(*(b.column(k) for k in range(5)), strict=True):
+                    place = None if referred.as_py() else f"{context.partitionId()}-{count}"
+                    raw.write(engine.compress(record(page.as_py(), url.as_py(), payload.as_py(), refers.as_py(), place)))
                     count += 1
             raw.write(engine.flush())
-        with fs.open_input_stream(f"{base}/{own}.mono", compression=None) as source, fs.open_output_stream(f"{base}/{own}.out", compression=None) as target, fs.open_output_stream(f"{base}/{own}.idx") as index:
-            if normalise(source, target, index) != count:
-                raise ValueError("normalising lost records")
-        fs.delete_file(f"{base}/{own}.mono")
-        fs.move(f"{base}/{own}.out", f"{base}/{name}.warc.gz")
-        fs.move(f"{base}/{own}.idx", f"{base}/{name}.index.jsonl")
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64())], names=["name", "records"])
+        with fs.open_input_stream(f"{base}/{name}.mono", compression=None) as source, fs.open_output_stream(f"{base}/{name}.warc.gz", compression=None) as target, fs.open_output_stream(f"{base}/{name}.index.jsonl") as index:
+            written, spans = normalise(source, target, index, span)
+        if written != count:
+            raise ValueError("normalising lost records")
+        fs.delete_file(f"{base}/{name}.mono")
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(spans), pa.string()), pa.array([x for x, _ in spans], pa.int64()), pa.array([y for _, y in spans], pa.int64())], names=["name", "begins", "ends"])
 
-    return rows.mapInArrow(run, "name string, records long")
+    return rows.mapInArrow(run, "name string, begins long, ends long")
 
 
-def read_archives(archives: DataFrame, folder: str, block: int = 2000) -> DataFrame:
-    """Every record of archives (name, records): page_id, payload length and digest, type, what it refers to."""
-    spans = archives.select("name", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("records") - 1) / block)).cast("long"))).alias("span"))
+def read_archives(spans: DataFrame, folder: str, most_tasks: int = 20_000) -> DataFrame:
+    """Every record of spans (name, begins, ends): page_id, payload length and digest, type, what it refers to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(folder)
         for b in batches:
-            for name, span in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for name, begins, ends in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 out = []
-                with fs.open_input_stream(f"{base}/{name}.index.jsonl") as raw:
-                    lines = io.BufferedReader(raw, _BLOCK)
-                    wanted = [json.loads(x) for k, x in enumerate(lines) if span * block <= k < (span + 1) * block]
+                with fs.open_input_file(f"{base}/{name}.index.jsonl") as index:
+                    index.seek(begins)
+                    wanted = [json.loads(x) for x in index.read(ends - begins).splitlines()]
                 with fs.open_input_file(f"{base}/{name}.warc.gz") as archive:
                     for entry in wanted:
                         archive.seek(entry["offset"])
@@ -206,19 +222,20 @@ def read_archives(archives: DataFrame, folder: str, block: int = 2000) -> DataFr
                         if fields["warc-record-id"] != entry["id"] or not revisit and digest_of(payload) != told:
                             raise ValueError(f"{name}: the record at {entry['offset']} isn't what its index or digest says")
                         page = fields["warc-record-id"].removeprefix(f"<{_NAME}").split("/")[0]
-                        refers = fields["warc-refers-to"].removeprefix(f"<{_NAME}").rstrip(">") if revisit else None
+                        refers = fields["warc-refers-to"].removeprefix(f"<{_NAME}").split("/")[0] if revisit else None
                         out.append((None if page == "null" else int(page), int(fields["x-payload-length"]) if revisit else len(payload), told, fields["warc-type"], refers and int(refers)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return spans.repartition("name", "span").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # A task takes one span, or as many as keep the tasks' number bounded; a count that is given is not merged at run time.
+    tasks = max(1, min(spans.count(), most_tasks))
+    return spans.repartition(tasks, "name", "begins").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive(pages: DataFrame, least_revisit: int = 0) -> DataFrame:
     """Write the pages' archives and read them back: a row per page."""
     folder = shared_path(pages.sparkSession, "warc")
-    archives = stored(write_archives(decided(pages, least_revisit), folder), "warc-list")
-    return read_archives(archives, folder)
+    spans = stored(write_archives(decided(pages, least_revisit), folder), "warc-spans")
+    return read_archives(spans, folder)
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:

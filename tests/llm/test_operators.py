@@ -312,9 +312,9 @@ def test_nearest_recall_against_brute_force(spark):
 
 def test_warc_normaliser_round_trip():
     payloads = [b"", b"x", b"WARC/1.1\r\n\r\n" * 3, bytes(range(256)) * 5000]
-    whole = b"".join(warc.record(k, "http://a/\r\nb", p, 3 if k == 1 else None, k) for k, p in enumerate(payloads))
+    whole = b"".join(warc.record(k, "http://a/\r\nb", p, 3 if k == 1 else None, str(k)) for k, p in enumerate(payloads))
     target, index = io.BytesIO(), io.BytesIO()
-    assert warc.normalise(io.BytesIO(zlib.compress(whole, wbits=31)), target, index) == 4
+    assert warc.normalise(io.BytesIO(zlib.compress(whole, wbits=31)), target, index, 3)[0] == 4
     import json
 
     for k, line in enumerate(index.getvalue().splitlines()):
@@ -325,9 +325,15 @@ def test_warc_normaliser_round_trip():
         warc.normalise(io.BytesIO(zlib.compress(whole[:-30], wbits=31)), io.BytesIO(), io.BytesIO())
 
 
-def test_warc_decisions(spark):
+def test_warc_decisions(spark, tmp_path):
     pages = [(1, "http://a", "same"), (5, "http://b", "same"), (3, None, "same"), (2, "u", None), (4, "u", ""), (7, "u", "é"), (7, "u", "é"), (None, "u", "alone")]
     got = sorted(((r["page_id"] or -1), r["record_type"], r["refers_to"] or -1, r["payload_bytes"]) for r in warc.archive(spark.createDataFrame(pages, "page_id long, url string, html string")).collect())
+    folder = tmp_path / "warc"
+    spans = warc.write_archives(warc.decided(spark.createDataFrame(pages, "page_id long, url string, html string")), str(folder), 2)
+    spans.collect()
+    fields = [f for x in folder.glob("*.warc.gz") for f, _, _ in warc.records(x.open("rb"))]
+    known = [f["warc-record-id"] for f in fields]
+    assert len(known) == 8 and len(set(known)) == 7 and {f["warc-refers-to"] for f in fields if "warc-refers-to" in f} <= set(known)
     assert got == sorted([(1, "revisit", 5, 4), (5, "response", -1, 4), (3, "revisit", 5, 4), (2, "revisit", 4, 0), (4, "response", -1, 0), (7, "response", -1, 2), (7, "response", -1, 2), (-1, "response", -1, 5)])
 
 
