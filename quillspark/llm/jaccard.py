@@ -14,18 +14,19 @@ bucket. The order is free, so cells that a sample of documents shows to be frequ
 documents share) come last; most documents never emit them.
 
 *Verify.* A bucket isn't expanded into its pairs. Each member is paired with the bucket's smallest id, and each
-smallest id's members are a bundle. The pairs are first held against parity sketches of single bits, one or more a
+smallest id's members are a bundle. A task reads its buckets sorted and holds one row; buckets of frequent cells, of
+bounded number, are not dealt by their key at all: their smallest ids are partial aggregates that are told to all. The pairs are first held against parity sketches of single bits, one or more a
 shingle, whose Hamming distance also bounds the symmetric difference from below; what passes is tested on the full
 sets. Links give components. Only bundles whose members are still in several components go on: of the pairs across
 components that the bit sketches allow, some of each two components are tested, more of them each round, until none
-is left. So every pair that meets in a bucket ends in one component, or fails a sketch or the test itself.
+is left. A bundle is dealt in squares of :data:`SQUARE` by as many members, so none is a task of its own. So every pair that meets in a bucket ends in one component, or fails a sketch or the test itself.
 
 Bands are ``8**k``; a pair of sets on two sides of a band's end meets in the upper band. Documents with equal
 sets within a partition of the input are linked at once and only the first of them emits cells.
 
 Defined cases: null text, or text without words, has an empty set and links to nothing; rows that share a
 doc_id are one node of the graph, each keeps a row; a null doc_id has a null component; an empty table gives
-no rows; other columns are ignored.
+no rows; other columns are ignored. Shingles count as equal if their 64-bit hashes are.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ from quillspark.llm.components import connected
 WORDS = 5
 #: Frequent cells that are told to all tasks: at most so many, from a document in so many.
 FREQUENT_CELLS, SAMPLE_ONE_IN = 65_536, 16
+#: Members of a bundle that meet as many others in one go.
+SQUARE = 1024
 #: Text that is hashed in one go.
 _CHUNK = 1 << 18
 
@@ -165,8 +168,9 @@ def bits_apart(x: bytes, y: bytes) -> int:
 _ROW = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
 _ROW_DDL = "kind byte, a long, b long, n long, bits binary"
 #: Rows between the stages: a document (a: id, n: size, bits: its sketch if it emits cells), a link (a, b), a bucket's
-#: member (first a: bucket, then a: the bucket's smallest id; b: id), a document whose cells prove nothing.
-DOC, LINK, MEMBER, WEAK = range(4)
+#: member (first a: bucket, then a: the bucket's smallest id; b: id), a document whose cells prove nothing, a member of a
+#: frequent cell's bucket (a: bucket; b: id).
+DOC, LINK, MEMBER, WEAK, HOT = range(5)
 
 
 def _rows(kind: int, a, b, n, bits=None) -> pa.RecordBatch:
@@ -203,7 +207,11 @@ def _sketches(frequent: np.ndarray, scale: int, words: int):
                     yield _rows(WEAK, weak, weak, [0] * len(weak))
                 if members:
                     count = [len(k) for k, _, _ in members]
-                    yield _rows(MEMBER, np.concatenate([k for k, _, _ in members]), np.repeat([d for _, d, _ in members], count), np.repeat([n for _, _, n in members], count))
+                    key, doc, n = np.concatenate([k for k, _, _ in members]), np.repeat([d for _, d, _ in members], count), np.repeat([n for _, _, n in members], count)
+                    hot = frequent[np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)] == key if len(frequent) else np.zeros(len(key), bool)
+                    for kind, own in ((MEMBER, ~hot), (HOT, hot)):
+                        if own.any():
+                            yield _rows(kind, key[own], doc[own], n[own])
 
     return run
 
@@ -214,32 +222,31 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each member of a bucket of two or more: the bucket's smallest id. Other rows pass."""
-    own = []
+    """For each member of a bucket of two or more: the bucket's smallest id. Rows come sorted by a, then b; others pass."""
+    last, least = None, None
     for b in batches:
         is_member = pa.compute.equal(b.column(0), MEMBER)
         if (other := b.filter(pa.compute.invert(is_member))).num_rows:
             yield other
-        own.append([c.to_numpy(zero_copy_only=False) for c in b.filter(is_member).columns[1:3]])
-    if not own or not sum(len(x[0]) for x in own):
-        return
-    key, doc = (np.concatenate(c) for c in zip(*own, strict=True))
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    first = np.repeat(doc[starts], np.diff(np.append(starts, len(key))))
-    pairs = np.stack([first, doc])[:, first != doc]
-    if pairs.shape[1]:
-        pairs = np.unique(pairs, axis=1)
-        yield _rows(MEMBER, pairs[0], pairs[1], np.zeros(pairs.shape[1], np.int64))
+        key, doc = (c.to_numpy(zero_copy_only=False) for c in b.filter(is_member).columns[1:3])
+        if not len(key):
+            continue
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        first = doc[starts]
+        if key[0] == last:  # a bucket that began in the batch before
+            first[0] = least
+        last, least = key[-1], first[-1]
+        first = np.repeat(first, np.diff(np.append(starts, len(key))))
+        if (met := first != doc).any():
+            yield _rows(MEMBER, first[met], doc[met], np.zeros(met.sum(), np.int64))
 
 
 def _words(bits: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(bits), "<u8").reshape(len(bits), -1)
 
 
-def _candidates(n: np.ndarray, comp: np.ndarray, bits: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row the later rows of other components whose size and sketch allow a link; rows in order of sketch length."""
+def _candidates(n: np.ndarray, comp: np.ndarray, bits: list[bytes], side: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row the later rows of other components, and of another side if any, whose size and sketch allow a link."""
     size = np.array([len(b) for b in bits])
     for length in np.unique(size):
         at = np.flatnonzero(size == length)
@@ -251,7 +258,10 @@ def _candidates(n: np.ndarray, comp: np.ndarray, bits: list[bytes]) -> Iterator[
         sizes, comps = n[where], comp[where]
         for k in range(len(at)):
             rest = slice(k + 1, None)
-            hit = np.flatnonzero((comps[rest] != comps[k]) & _near(sizes[rest], sizes[k])) + k + 1
+            able = (comps[rest] != comps[k]) & _near(sizes[rest], sizes[k])
+            if side is not None:
+                able &= side[where][rest] != side[where[k]]
+            hit = np.flatnonzero(able) + k + 1
             if len(hit):
                 apart = np.bitwise_count(both[hit] ^ both[k]).sum(axis=1, dtype=np.int64)
                 hit = hit[7 * apart <= sizes[hit] + sizes[k]]
@@ -262,24 +272,35 @@ def _candidates(n: np.ndarray, comp: np.ndarray, bits: list[bytes]) -> Iterator[
 _NEXT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())])
 
 
+def _squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each square (the first three columns) from sorted rows."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(k).to_numpy() for k in range(3)])
+        starts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(starts, starts[1:], strict=False):
+            if held and tuple(keys[:, lo]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+            last = tuple(keys[:, lo])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _between(most: int):
-    """In each bundle, pairs of different components that may link: ``most`` of each two components at most, and if there are more."""
+    """In each square, pairs of different components that may link: ``most`` of each two components at most, and if there are more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if table is None:
-            return
-        bundle, doc, n, comp = (table.column(k).to_numpy() for k in range(4))
-        bits = table.column(4).to_pylist()
-        order = np.lexsort((doc, bundle))
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(bundle[order]) != 0]))
-        for lo, hi in zip(starts, np.append(starts[1:], len(order)), strict=True):
-            own = order[lo:hi]
+        for table in _squares(batches):
+            row, column, doc, n, comp, side = (table.column(k).to_numpy() for k in (1, 2, 3, 4, 5, 6))
             seen: dict[tuple, int] = {}
             out: list[tuple] = []
-            for i, others in _candidates(n[own], comp[own], [bits[k] for k in own]):
-                for j in others.tolist():
-                    x, y = own[i], own[j]
+            for x, others in _candidates(n, comp, table.column(7).to_pylist(), side if row[0] != column[0] else None):
+                for y in others.tolist():
                     pair = (min(comp[x], comp[y]), max(comp[x], comp[y]))
                     seen[pair] = count = seen.get(pair, 0) + 1
                     if count <= most:
@@ -292,6 +313,15 @@ def _between(most: int):
     return run
 
 
+def squares(open_: DataFrame) -> DataFrame:
+    """Members (a, b, n, component, bits) of bundles, dealt so that every two of a bundle meet in a square (a, i, j)."""
+    sizes = open_.groupBy("a").agg(F.ceil(F.count("*") / SQUARE).alias("parts"))
+    dealt = open_.join(sizes, "a").withColumn("side", F.pmod(F.xxhash64("b"), F.col("parts")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("a", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "b", "n", "component", "side", "bits")
+    return dealt.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j")
+
+
 def _linked(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, x = None, np.zeros(0, np.uint64)  # pairs come sorted by a, so a set is often that of the row before
@@ -354,11 +384,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     while True:
         frequent = _frequent(docs, words, scale)
         keyed = docs.mapInArrow(_sketches(frequent, scale, words), _ROW_DDL)
-        found = stored(keyed.repartition(F.col("a")).mapInArrow(_bundles, _ROW_DDL), "jaccard")
+        # Only a bucket's members must meet; other rows are dealt evenly.
+        spread = F.when(F.col("kind") != MEMBER, F.xxhash64("a", "b")).otherwise(F.col("a"))
+        found = stored(keyed.repartition(spread).sortWithinPartitions("a", "b").mapInArrow(_bundles, _ROW_DDL), "jaccard")
         if found.where(F.col("kind") == WEAK).limit(1).count() == 0:
             break
         scale *= 4  # with more cells fewer shingles share one; with one each, all are proof
-    bundles = stored(found.where(F.col("kind") == MEMBER).select("a", "b").distinct(), "jaccard-bundles")
+    hot = found.where(F.col("kind") == HOT).select(F.col("a").alias("key"), "b")
+    # As many rows as frequent cells.
+    least = F.broadcast(hot.groupBy("key").agg(F.min("b").alias("a")))
+    hot = hot.join(least, "key").where("a <> b").select("a", "b")
+    bundles = stored(found.where(F.col("kind") == MEMBER).select("a", "b").unionByName(hot).distinct(), "jaccard-bundles")
     pairs = stored(possible(found, bundles), "jaccard-pairs")
     links = stored(found.where(F.col("kind") == LINK).select("a", "b").unionByName(verified(docs, pairs, words)), "jaccard-links")
     components = connected(links)
@@ -370,7 +406,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         placed = members.join(components.withColumnRenamed("node", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
         mixed = placed.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("a")
         open_ = placed.join(mixed, "a", "left_semi").select("a", "b", "component").join(sketches, "b").select("a", "b", "n", "component", "bits")
-        tests = stored(open_.repartition(F.col("a")).mapInArrow(_between(most), "a long, b long, more boolean"), "jaccard-between")
+        tests = stored(squares(open_).mapInArrow(_between(most), "a long, b long, more boolean"), "jaccard-between")
         more = stored(verified(docs, tests.select("a", "b").distinct(), words), "jaccard-links")
         if more.limit(1).count():
             components = connected(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))

@@ -76,13 +76,17 @@ def test_jaccard_is_exact(spark, rows):
     assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == want
 
 
-def test_jaccard_large_group_across_components(spark):
-    """Copies of copies that drift: the group's smallest id links to few of them."""
+@pytest.mark.parametrize(("square", "one_in"), [(1024, 16), (7, 1)])
+def test_jaccard_large_group_across_components(spark, monkeypatch, square, one_in):
+    """Copies of copies that drift: the group's smallest id links to few of them; with small squares and told frequent cells too."""
+    monkeypatch.setattr(jaccard, "SQUARE", square)
+    monkeypatch.setattr(jaccard, "SAMPLE_ONE_IN", one_in)
     own, rows = words(100, 5, 10_000).split(), []
     for k in range(80):
         own = list(own)
         own[(k * 7) % 100] = f"y{k}"
         rows.append((k, " ".join(own)))
+    rows += [(100 + k, " ".join(words(60, 300 + k).split() + rows[0][1].split()[:20])) for k in range(40)]
     got = jaccard.jaccard_components(spark.createDataFrame([(i, t, "z") for i, t in rows], DOCS)).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows)
 
