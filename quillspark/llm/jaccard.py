@@ -47,6 +47,8 @@ WORDS = 5
 FREQUENT_CELLS, SAMPLE_ONE_IN = 65_536, 16
 #: Members of a bundle that meet as many others in one go.
 SQUARE = 1024
+#: Pairs of which a task drops the repeated ones in one go.
+PAIRS = 500_000
 #: Text that is hashed in one go.
 _CHUNK = 1 << 18
 
@@ -222,8 +224,12 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each member of a bucket of two or more: the bucket's smallest id. Rows come sorted by a, then b; others pass."""
+    """For each member of a bucket of two or more: the bucket's smallest id. Rows come sorted by a, then b; others pass.
+
+    Of the pairs at most twice :data:`PAIRS` are held.
+    """
     last, least = None, None
+    held, rows = np.zeros((2, 0), np.int64), 0
     for b in batches:
         is_member = pa.compute.equal(b.column(0), MEMBER)
         if (other := b.filter(pa.compute.invert(is_member))).num_rows:
@@ -237,8 +243,16 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first[0] = least
         last, least = key[-1], first[-1]
         first = np.repeat(first, np.diff(np.append(starts, len(key))))
-        if (met := first != doc).any():
-            yield _rows(MEMBER, first[met], doc[met], np.zeros(met.sum(), np.int64))
+        # Copies meet in many buckets: pairs go on once in so many.
+        held = np.concatenate([held, np.stack([first, doc])[:, first != doc]], axis=1)
+        if held.shape[1] >= rows + PAIRS:
+            held = np.unique(held, axis=1)
+            if (rows := held.shape[1]) >= PAIRS:
+                yield _rows(MEMBER, held[0], held[1], np.zeros(rows, np.int64))
+                held, rows = held[:, :0], 0
+    if held.shape[1]:
+        held = np.unique(held, axis=1)
+        yield _rows(MEMBER, held[0], held[1], np.zeros(held.shape[1], np.int64))
 
 
 def _words(bits: list[bytes]) -> np.ndarray:
