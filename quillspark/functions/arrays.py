@@ -6,6 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def confidence(probabilities: Column) -> Column:
+    """The largest probability of an array, without nulls and NaN; null if there is none."""
+    return F.array_max(F.filter(probabilities, lambda p: p.isNotNull() & ~F.isnan(p)))
+
+
+def unique_union(*lists: Column) -> Column:
+    """The elements of several lists, each once, in order of first appearance."""
+    return F.array_distinct(F.concat(*lists))
+
+
 def bound(value: Column, body) -> Column:
     """``body`` of a value that is worked out once, not at each element that a lambda sees."""
     return F.transform(F.array(value), body)[0]

@@ -30,6 +30,24 @@ def combination(kind: Column, index: Column, none: str) -> Column:
     return F.when(kind.isNull() | (kind == "") | index.isNull() | (index < 0), F.lit(none)).otherwise(F.concat(kind, F.lit("_idx"), index.cast("string")))
 
 
+def sort_key(x: Column) -> Column:
+    """(family, size) of a model's name: letters before the first mark or digit, and the number before B or M, else 0."""
+    family = F.lower(F.regexp_extract(last_part(x), r"^[^-_0-9]*", 0))
+    size = F.regexp_extract(x, r"([0-9]+\.?[0-9]*)\s*[BbMm]", 1).try_cast("double")
+    return F.struct(family.alias("family"), F.coalesce(size, F.lit(0.0)).alias("size"))
+
+
+def polarity(x: Column) -> Column:
+    """The name of a sentiment of -1 or 1; null for others."""
+    return F.when(x == -1, "NEGATIVE").when(x == 1, "POSITIVE")
+
+
+def chosen_text(keys: Column, texts: Column, chosen: Column) -> Column:
+    """The text of the option whose key was chosen; of equal keys the last counts."""
+    at = F.size(keys) - F.array_position(F.reverse(keys), chosen) + 1
+    return F.when(F.array_contains(keys, chosen), F.get(texts, (at - 1).cast("int")))
+
+
 def integer_or(x: Column, default: int = -1) -> Column:
     return F.coalesce(x.try_cast("int"), F.lit(default))
 
@@ -93,8 +111,12 @@ def error_family(x: Column) -> Column:
 
 
 def p_text(log10p: Column) -> Column:
-    """A p-value from its log10: six decimals down to 1e-4, then the power of ten."""
-    plain = F.round(F.pow(F.lit(10.0), log10p), 6).cast("decimal(12,6)").cast("string")
+    """A p-value from its log10: three significant digits above 1e-4, else the power of ten."""
+    p = F.pow(F.lit(10.0), log10p)
+    digits = F.round(p, 6)
+    for places in (5, 4, 3, 2):
+        digits = F.when(p >= 10.0 ** (2 - places), F.round(p, places)).otherwise(digits)
+    plain = F.regexp_replace(digits.cast("decimal(12,6)").cast("string"), r"\.?0+$", "")
     return F.when(log10p.isNull() | F.isnan(log10p), "n/a").when(log10p > -4, plain).otherwise(F.concat(F.lit("1e"), F.rint(log10p).cast("long").cast("string")))
 
 

@@ -1,53 +1,70 @@
-"""An explicit stance in a text's last lines, found conservatively."""
+"""An explicit stance in a text's last lines, found conservatively, as column expressions.
+
+Each option has forms by which a text may name it. The place at which an option is named last is the length of what a
+greedy prefix takes in before that form; the option with the largest place is the stance, if it is the only one there.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import last_lines
+
 #: Lines at the end that are searched.
 TAIL = 5
+#: Words that lead to an option's key, and what may follow a key.
+LEADS = ("stance", "answer", "position", "choice", "option")
+VERDICTS = ("agree", "disagree", "strongly agree", "strongly disagree")
 
 
-def _patterns(keys: Sequence[str], labels: Sequence[str]) -> list[tuple[re.Pattern, int]]:
-    out = []
-    for index, label in enumerate(labels):
-        low = label.casefold()
-        # "strongly agree" holds "agree" too; the longer label alone counts there.
-        longer = [x.casefold() for x in labels if x.casefold() != low and x.casefold().endswith(" " + low)]
-        guard = "".join(rf"(?<!{re.escape(x[: -len(low)].rstrip())}\s)" for x in longer)
-        out.append((re.compile(rf"(?<![a-z]){guard}{re.escape(low)}(?![a-z])", re.IGNORECASE), index))
-    for index, key in enumerate(keys):
-        k = re.escape(key)
-        near = rf"(?:stance|answer|position|choice|option)\s*[:=-]?\s*\**{k}\b"
-        leads = rf"(?m)^\s*\**{k}(?:[.)]|\s*$)"
-        followed = rf"\b{k}\s*[.)]\s*(?:strongly\s+)?(?:dis)?agree\b"
-        out += [(re.compile(p, re.IGNORECASE), index) for p in (near, leads, followed)]
-    return out
-
-
-def stance_of(text: str | None, patterns: list[tuple[re.Pattern, int]]) -> int | None:
-    """Index of the option named last; None without one, or if the last place names several."""
-    lines = [x.strip() for x in (text or "").splitlines() if x.strip()]
-    tail = "\n".join(lines[-TAIL:])
-    hits = [(m.start(), index) for p, index in patterns for m in p.finditer(tail)]
-    if not hits:
-        return None
-    last = max(at for at, _ in hits)
-    found = {index for at, index in hits if at == last}
-    return found.pop() if len(found) == 1 else None
+def label_form(label: str, labels: Sequence[str]) -> str:
+    """A label as words of its own, not as the end of a longer label."""
+    before = "(?<![a-z])"
+    for longer in labels:
+        if longer.lower() != label.lower() and longer.lower().endswith(" " + label.lower()):
+            before += rf"(?<!\Q{longer[: -len(label)].strip()}\E\s)"
+    return rf"{before}\Q{label}\E(?![a-z])"
+
+
+def key_forms(key: str) -> list[str]:
+    """A key after a leading word, alone or with a mark at the start of a line, or before a verdict."""
+    quoted = rf"\Q{key}\E"
+    verdicts = "|".join(v.replace(" ", r"\s+") for v in VERDICTS)
+    return [rf"(?:{'|'.join(LEADS)})\s*[-:=]?\s*\**{quoted}\b", rf"(?m:^)\s*\**{quoted}(?:[).]|\s*(?m:$))", rf"\b{quoted}\s*[).]\s*(?:{verdicts})\b"]
+
+
+def last_place(tail: Column, form: str) -> Column:
+    """The character at which a form begins last; null where it isn't found."""
+    pattern = rf"(?is)^(.*)(?:{form})"
+    return F.when(tail.rlike(pattern), F.char_length(F.regexp_extract(tail, pattern, 1)))
 
 
 def explicit_stance(x: Column, keys: Sequence[str], labels: Sequence[str]) -> Column:
-    """:func:`stance_of` of a text column, in Arrow batches: the last match's place is beyond SQL's patterns."""
-    patterns = _patterns(keys, labels)
+    """Index of the option that a text names last; null without one, or if several are named at that place."""
+    tail = F.array_join(last_lines(F.regexp_replace(x, r"\r\n?", "\n"), TAIL), "\n")
+
+    def decided(t: Column) -> Column:
+        places = [F.array_max(F.array(*[last_place(t, f) for f in [label_form(label, labels), *key_forms(key)]])) for key, label in zip(keys, labels, strict=True)]
+        return F.transform(F.array(F.array(*places)), winner)[0]
+
+    def winner(places: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.lit(len(labels) - 1)), lambda k: F.get(places, k) == F.array_max(places))
+        return F.when(F.size(at) == 1, at[0])
 
-    @F.pandas_udf("int")
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series([stance_of(v, patterns) for v in s], dtype="Int32")
+    return F.transform(F.array(tail), decided)[0]
 
-    return run(x)
+
+def stance_of(text: str | None, keys: Sequence[str], labels: Sequence[str]) -> int | None:
+    """The same for one text in plain Python, by walking back over places: for tests."""
+    lines = [s for x in re.sub("\r\n?", "\n", text or "").split("\n") if (s := x.strip(" "))]
+    tail = "\n".join(lines[-TAIL:])
+    forms = [[label_form(label, labels), *key_forms(key)] for key, label in zip(keys, labels, strict=True)]
+    plain = [[re.compile(re.sub(r"\\Q(.*?)\\E", lambda m: re.escape(m[1]), f), re.IGNORECASE) for f in own] for own in forms]
+    for at in range(len(tail) - 1, -1, -1):
+        if named := [k for k, own in enumerate(plain) if any(p.match(tail, at) for p in own)]:
+            return named[0] if len(named) == 1 else None
+    return None

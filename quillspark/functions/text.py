@@ -10,6 +10,11 @@ WORD = r"(?U)\b[\w'-]+\b"
 ASCII_WORD = r"[A-Za-z']+"
 
 
+def _trimmed(x: Column) -> Column:
+    """As a function of one argument: an array function would pass a second one its index."""
+    return F.trim(x)
+
+
 def squeezed(x: Column) -> Column:
     """White space collapsed to single spaces, ends trimmed."""
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
@@ -20,7 +25,7 @@ def hidden_and_visible(x: Column) -> Column:
     closed = r"(?is)<think>(.*?)</think>"
     rest = F.regexp_replace(x, closed, "")
     opened = F.regexp_extract(rest, r"(?is)<think>(.*)$", 1)
-    hidden = F.concat_ws("\n", F.transform(F.regexp_extract_all(x, F.lit(closed), F.lit(1)), F.trim), F.when(F.trim(opened) != "", F.trim(opened)))
+    hidden = F.concat_ws("\n", F.transform(F.regexp_extract_all(x, F.lit(closed), F.lit(1)), _trimmed), F.when(F.trim(opened) != "", F.trim(opened)))
     visible = F.trim(F.regexp_replace(rest, r"(?is)<think>.*$", ""))
     return F.struct(hidden.alias("hidden"), visible.alias("visible"), x.rlike(r"(?i)<think>").alias("has_hidden"))
 
@@ -31,7 +36,7 @@ def word_count(x: Column, pattern: str = WORD) -> Column:
 
 def last_lines(x: Column, k: int) -> Column:
     """The last k lines with other than white space, trimmed."""
-    lines = F.filter(F.transform(F.split(x, "\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(x, "\n"), _trimmed), lambda s: s != "")
     return F.slice(lines, F.greatest(F.lit(1), F.size(lines) - k + 1), F.lit(k))
 
 
@@ -45,7 +50,7 @@ def rationale(x: Column, statement: Column, prefixes: list[str]) -> Column:
             drop = drop | F.startswith(F.lower(F.trim(line)), F.lit(p.lower()))
         return ~drop & (F.trim(line) != "")
 
-    return F.array_join(F.transform(F.filter(rest, stays), F.trim), "\n")
+    return F.array_join(F.transform(F.filter(rest, stays), _trimmed), "\n")
 
 
 def lexicon(x: Column, patterns: list[str], words: Column) -> dict[str, Column]:

@@ -38,6 +38,32 @@ def probability_violations(df: DataFrame, groups: Sequence[str], probs: Column,
     return p.groupBy(*groups).agg(F.count("*").alias("rows"), F.count_if(bad).alias("out_of_range"), F.count_if(~bad & off).alias("bad_sum"))
 
 
+def complete_groups(df: DataFrame, group: Sequence[str], expected: int, failed: Column) -> DataFrame:
+    """The groups that have exactly the expected rows and none that failed."""
+    sizes = df.groupBy(*group).agg(F.count("*").alias("n"), F.count_if(failed).alias("failures"))
+    return sizes.where((F.col("n") == expected) & (F.col("failures") == 0)).select(*group)
+
+
+def template_faults(templates: DataFrame, kind: str, text: str, expected: dict[str, int], placeholder: dict[str, str]) -> DataFrame:
+    """Kinds of templates whose number isn't the expected one, or of which some lack their placeholder."""
+    number, wanted = F.lit(None).cast("long"), F.lit(False)
+    for k, n in expected.items():
+        number = F.when(F.col(kind) == k, F.lit(n).cast("long")).otherwise(number)
+    for k, p in placeholder.items():
+        wanted = wanted | ((F.col(kind) == k) & ~F.coalesce(F.col(text).contains(p), F.lit(False)))
+    found = templates.groupBy(kind).agg(F.count("*").alias("n"), F.count_if(wanted).alias("without_placeholder"))
+    kinds = templates.sparkSession.createDataFrame([(k,) for k in expected], f"{kind} string")  # a closed list
+    out = F.broadcast(kinds).join(found, kind, "right").unionByName(kinds.join(found, kind, "left_anti").selectExpr(kind, "0L AS n", "0L AS without_placeholder"))
+    return out.withColumn("expected", number).where("not (n <=> expected) or without_placeholder > 0")
+
+
+def against_ledger(found: DataFrame, ledger: DataFrame, key: str = "name", value: str = "value") -> DataFrame:
+    """Published values (name, value, tolerance) with those found, and whether they hold; what isn't found doesn't."""
+    own = found.select(key, F.col(value).alias("found"))
+    held = F.coalesce(F.abs(F.col("found") - F.col(value)) <= F.col("tolerance"), F.lit(False))
+    return ledger.join(own, key, "left").withColumn("holds", held)
+
+
 def unbalanced(df: DataFrame, cell: Sequence[str], expected: int | None = None) -> DataFrame:
     """Cells whose size isn't the expected one (by default the largest cell's)."""
     cells = df.groupBy(*cell).agg(F.count("*").alias("n"))

@@ -15,12 +15,48 @@ from quillspark.operators.metrics import ratio
 def matched(df: DataFrame, keys: Sequence[str], side: Column, left: str, right: str, values: Sequence[str]) -> DataFrame:
     """Rows of two sides with equal keys, as ``value_left`` and ``value_right``: inner, one to one.
 
-    A grouped pivot: one shuffle of the table. With several rows of a key on a side the smallest counts.
+    A grouped pivot: one shuffle of the table, which fails while it runs if a side has a key twice.
     """
     rows = df.select(*keys, side.alias("_side"), *values).where(F.col("_side").isin(left, right))
-    picked = [F.min(F.when(F.col("_side") == s, F.col(v))).alias(f"{v}_{name}") for v in values for s, name in ((left, "left"), (right, "right"))]
-    both = rows.groupBy(*keys).agg(*picked, F.countDistinct("_side").alias("_sides"))
-    return both.where("_sides = 2").drop("_sides")
+    sides = ((left, "left"), (right, "right"))
+    picked = [F.min(F.when(F.col("_side") == s, F.col(v))).alias(f"{v}_{name}") for v in values for s, name in sides]
+    both = rows.groupBy(*keys).agg(*picked, *[F.count_if(F.col("_side") == s).alias(f"_{name}") for s, name in sides])
+    twice = (F.col("_left") > 1) | (F.col("_right") > 1)
+    told = F.raise_error(F.concat(F.lit("a side has several rows of "), F.to_json(F.struct(*keys)))).cast("boolean")
+    return both.where(F.when(twice, told).otherwise((F.col("_left") == 1) & (F.col("_right") == 1))).drop("_left", "_right")
+
+
+def regimes(df: DataFrame, keys: Sequence[str], side: Column, contrasts: dict[str, tuple[str, str]], values: Sequence[str]) -> DataFrame:
+    """The matched pairs of several contrasts (name: left and right side), one under another."""
+    out = None
+    for name, (left, right) in contrasts.items():
+        own = matched(df, keys, side, left, right, values).withColumn("regime", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def agreeing(left: DataFrame, right: DataFrame, keys: Sequence[str], facts: Sequence[str]) -> DataFrame:
+    """Per pair of a one-to-one join, which of the named columns differ (nulls are equal)."""
+    both = one_to_one(left.select(*keys, *facts), right.select(*keys, *facts), keys)
+    differs = F.filter(F.array(*[F.when(~F.col(f"{c}_left").eqNullSafe(F.col(f"{c}_right")), F.lit(c)) for c in facts]), lambda c: c.isNotNull())
+    return both.select(*keys, differs.alias("differs"))
+
+
+def positional(rows: DataFrame, source: DataFrame, group: str, position: str, order: Sequence[str], facts: Sequence[str]) -> DataFrame:
+    """Rows with their item of ``source``, found by its group and place there (from 1, in ``order``), and whether it agrees.
+
+    A row whose place the source doesn't have fails.
+    """
+    from pyspark.sql.window import Window
+
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    wanted = source.select(group, place.alias(position), *[F.col(c).alias(f"{c}_expected") for c in facts], F.lit(True).alias("_found"))
+    met = rows.join(wanted, [group, position], "left")
+    told = F.raise_error(F.concat(F.lit("no item at "), F.to_json(F.struct(group, position)))).cast("boolean")
+    same = F.lit(True)
+    for c in facts:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_expected"))
+    return met.withColumn("aligned", F.when(F.col("_found").isNull(), told).otherwise(same)).drop("_found", *[f"{c}_expected" for c in facts])
 
 
 def one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], suffixes: tuple[str, str] = ("_left", "_right")) -> DataFrame:

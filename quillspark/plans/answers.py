@@ -140,13 +140,16 @@ def k01(spark, d):
     return rounded(scoring.question_axes(scorer(spark), ["economic", "social"]).select("item", "axis", "weight_range", "direction"))
 
 
-_CENTRED = "list_transform(range(1, 5), lambda k: economic[k] - list_avg(economic))"
+_AXIS = "(CASE WHEN list_max(economic) - list_min(economic) > 1e-9 THEN economic ELSE social END)"
+_CENTRED = f"list_transform(range(1, 5), lambda k: {_AXIS}[k] - list_avg({_AXIS}))"
 
 
-@query("k02_item_alignment", _q(f"SELECT vec_id, ans.item::INT AS item, coalesce(({_CENTRED})[list_position(p, list_max(p))] > 0, false) AS target_aligned, list_sum(list_transform(range(1, 5), lambda k: p[k] * ({_CENTRED})[k])) AS target_projection FROM ans JOIN scorer ON ans.item = scorer.item WHERE ans.item % 4 IN (0, 2)", "target_projection", f", {SCORER}"))
+@query("k02_item_alignment", _q(f"SELECT vec_id, ans.item::INT AS item, coalesce(({_CENTRED})[list_position(p, list_max(p))] > 0, false) AS target_aligned, list_sum(list_transform(range(1, 5), lambda k: p[k] * ({_CENTRED})[k])) AS target_projection FROM ans JOIN scorer ON ans.item = scorer.item", "target_projection", f", {SCORER}"))
 def k02(spark, d):
-    rows = item_answers(spark, d).where("item % 4 in (0, 2)").join(F.broadcast(scorer(spark)), "item")
-    return rounded(rows.select("vec_id", "item", *[v.alias(k) for k, v in scoring.aligned(F.col("p"), F.col("economic"), F.lit(1)).items()]))
+    axes = scoring.question_axes(scorer(spark), ["economic", "social"]).select("item", "axis")
+    rows = item_answers(spark, d).join(F.broadcast(scorer(spark).join(axes, "item")), "item")  # 16 items
+    weights = F.when(F.col("axis") == "economic", F.col("economic")).otherwise(F.col("social"))
+    return rounded(rows.select("vec_id", "item", *[v.alias(k) for k, v in scoring.aligned(F.col("p"), weights, F.lit(1)).items()]))
 
 
 @query("k03_scores_from_wide", _q("SELECT label, avg(score_economic) AS economic, avg(score_social) AS social FROM co GROUP BY label", "economic social", _COORD))

@@ -61,12 +61,12 @@ def g08(spark, d):
     return p.crossJoin(F.broadcast(design.variants(m, F.col("modes")).drop("modes")))
 
 
-_MODELS = {"AUTOMOBILE": 2, "BUILDING": 0, "MACHINERY": 1}
+_MODELS = {"AUTOMOBILE": 2, "BUILDING": 0, "FURNITURE": 3, "HOUSEHOLD": 4, "MACHINERY": 1}
 
 
-@query("g07_config_ids", "WITH m(model, k) AS (VALUES ('AUTOMOBILE', 2), ('BUILDING', 0), ('MACHINERY', 1)) SELECT c_custkey, k * 100000 + row_number() OVER (PARTITION BY model ORDER BY c_custkey) - 1 AS config_id FROM customer JOIN m ON c_mktsegment = model")
+@query("g07_config_ids", "WITH m(model, k) AS (VALUES ('AUTOMOBILE', 2), ('BUILDING', 0), ('FURNITURE', 3), ('HOUSEHOLD', 4), ('MACHINERY', 1)) SELECT c_custkey, k * 100000 + row_number() OVER (PARTITION BY model ORDER BY c_custkey) - 1 AS config_id FROM customer JOIN m ON c_mktsegment = model")
 def g07(spark, d):
-    c = table(spark, d, "customer").where(F.col("c_mktsegment").isin(*_MODELS)).withColumnRenamed("c_mktsegment", "model")
+    c = table(spark, d, "customer").where(F.col("c_mktsegment").isin(list(_MODELS))).withColumnRenamed("c_mktsegment", "model")
     return design.with_config_id(c, _MODELS, 100000, ["c_custkey"]).select("c_custkey", "config_id")
 
 
@@ -116,10 +116,12 @@ def p22(spark, d):
     return table(spark, d, "events").groupBy("event_type", labels.error_family(message).alias("family")).agg(F.count("*").alias("n"))
 
 
-@query("p25_p_value_text", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '1e-' || (5 + p_partkey % 3) ELSE (round(10.0 ** -(p_partkey % 3 + 1), 6))::DECIMAL(12, 6)::VARCHAR END AS p FROM part")
+_LOG = "(-(p_partkey % 700) / 100.0)"
+
+
+@query("p25_p_value_text", f"WITH v AS (SELECT p_partkey, {_LOG}::DOUBLE AS l, 10.0::DOUBLE ** {_LOG}::DOUBLE AS p FROM part) SELECT p_partkey, CASE WHEN l > -4 THEN regexp_replace((CASE WHEN p >= 1 THEN round(p, 2) WHEN p >= 0.1 THEN round(p, 3) WHEN p >= 0.01 THEN round(p, 4) WHEN p >= 0.001 THEN round(p, 5) ELSE round(p, 6) END)::DECIMAL(12, 6)::VARCHAR, '\\.?0+$', '') ELSE '1e' || round_even(l, 0)::INT END AS p FROM v")
 def p25(spark, d):
-    log10p = F.when(F.col("p_partkey") % 2 == 0, -(5 + F.col("p_partkey") % 3)).otherwise(-(F.col("p_partkey") % 3 + 1)).cast("double")
-    return table(spark, d, "part").select("p_partkey", labels.p_text(log10p).alias("p"))
+    return table(spark, d, "part").select("p_partkey", labels.p_text(F.expr(_LOG).cast("double")).alias("p"))
 
 
 # Sources and sinks: written to the shared folder and read again.

@@ -65,9 +65,9 @@ def x07(spark, d):
     return _docs(spark, d).select("doc_id", c.alias("sentences"), F.regexp_count("text", F.lit(r"(?i)[^A-Za-z]not?[^A-Za-z]")).cast("long").alias("negations"))
 
 
-@query("x08_token_counts", "SELECT lang, lower(w) AS token, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(text, '[A-Za-z'']+')) AS w FROM documents) GROUP BY ALL HAVING count(*) >= 20")
+@query("x08_token_counts", "SELECT lang, lower(w) AS token, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(text, '[A-Za-z'']+')) AS w FROM documents) GROUP BY ALL")
 def x08(spark, d):
-    return _docs(spark, d).select("lang", F.explode(text.tokens(F.col("text"))).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("n")).where("n >= 20")
+    return _docs(spark, d).select("lang", F.explode(text.tokens(F.col("text"))).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("n"))
 
 
 _VOCABULARY = ["the", "and", "que", "der", "los"]
@@ -80,9 +80,9 @@ def x09(spark, d):
     return rounded(_docs(spark, d).select("doc_id", both.cast("long").alias("overlap"), share.alias("share")))
 
 
-@query("x10_templates", "SELECT item_id, 'Item ' || item_id || ':' || chr(10) || chr(10) || left(text, 30) AS prompt FROM benchmark")
+@query("x10_templates", "SELECT item_id, 'Item ' || item_id || ':' || chr(10) || chr(10) || text AS prompt FROM benchmark")
 def x10(spark, d):
-    t = text.filled(F.lit("Item {id}:\n\n{text}"), {"id": F.col("item_id").cast("string"), "text": F.substring("text", 1, 30)})
+    t = text.filled(F.lit("Item {id}:\n\n{text}"), {"id": F.col("item_id").cast("string"), "text": F.col("text")})
     return table(spark, d, "benchmark").select("item_id", t.alias("prompt"))
 
 
@@ -92,12 +92,16 @@ def x11(spark, d):
     return table(spark, d, "benchmark").select("item_id", text.options(keys, labels, F.col("item_id") % 4).alias("options"))
 
 
-@query("x12_explicit_stances")
+#: Texts' ends, and the stance that each states.
+_SAID = [("Stance: strongly agree", 3), ("I disagree.\nAnswer: 2", 1), ("So I agree.\nOr no: 1. Strongly disagree", 0), ("On balance\n3)", 2)]
+
+
+@query("x12_explicit_stances", f"SELECT conv_id, turn, CASE turn % 4 {' '.join(f'WHEN {k} THEN {v}' for k, (_, v) in enumerate(_SAID))} END AS stance FROM conversations WHERE text IS NOT NULL")
 def x12(spark, d):
     from quillspark.functions.stance import explicit_stance
 
-    c = table(spark, d, "conversations")
-    said = F.when(F.col("turn") % 2 == 0, F.lit("Stance: strongly agree")).otherwise(F.lit("I disagree.\nAnswer: 2"))
+    c = table(spark, d, "conversations").where("text is not null")
+    said = F.element_at(F.array(*[F.lit(x) for x, _ in _SAID]), (F.col("turn") % 4 + 1).cast("int"))
     return c.select("conv_id", "turn", explicit_stance(F.concat("text", F.lit("\n"), said), ["1", "2", "3", "4"], ["strongly disagree", "disagree", "agree", "strongly agree"]).alias("stance"))
 
 
@@ -142,26 +146,27 @@ def r07(spark, d):
 
 _GRAMS = """ws AS (SELECT doc_id, lang, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z'']+'), lambda x: lower(x)), lambda x: length(x) >= 2) AS w FROM documents),
 wr AS (SELECT doc_id, lang, list_transform(w, lambda t: CASE WHEN t IN ('the', 'of') THEN '<redacted>' ELSE t END) AS w FROM ws),
-gr AS (SELECT DISTINCT doc_id, lang, g FROM (SELECT doc_id, lang, unnest(list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))) AS g FROM wr) WHERE NOT contains(g, '<redacted>'))"""
+gr AS (SELECT DISTINCT doc_id, lang, g FROM (SELECT doc_id, lang, unnest(list_concat(w, list_concat(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]), list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])))) AS g FROM wr) WHERE NOT contains(g, '<redacted>') AND NOT regexp_full_match(g, '(and|in|to)( (and|in|to))*'))"""
+_STOP = ["and", "in", "to"]
 
 
 @query("k04_document_phrases", f"WITH {_GRAMS} SELECT doc_id, count(*) AS phrases FROM gr GROUP BY 1")
 def k04(spark, d):
-    p = phrases.document_phrases(F.col("text"), 2, F.array(F.lit("the"), F.lit("of")))
+    p = phrases.document_phrases(F.col("text"), 3, F.array(F.lit("the"), F.lit("of")), _STOP)
     return _docs(spark, d).select("doc_id", F.size(p).cast("long").alias("phrases")).where("phrases > 0")
 
 
 def _phrases(spark, d):
-    p = phrases.document_phrases(F.col("text"), 2, F.array(F.lit("the"), F.lit("of")))
+    p = phrases.document_phrases(F.col("text"), 3, F.array(F.lit("the"), F.lit("of")), _STOP)
     return phrases.phrase_counts(_docs(spark, d), p, [F.lit("all"), F.concat(F.lit("source::"), F.col("source"))], text.hash_half(F.col("doc_id").cast("string")), F.col("lang"))
 
 
 _PHRASES = f"{_GRAMS}, sc AS (SELECT d.doc_id, d.lang, {_HALF.replace('doc_id', 'd.doc_id')} AS half, s.scope FROM documents d, (VALUES (0)) v(x), LATERAL (SELECT unnest(['all', 'source::' || d.source]) AS scope) s), tot AS (SELECT scope, half, lang AS label, count(*) AS total FROM sc GROUP BY ALL), cnt AS (SELECT scope, half, gr.lang AS label, g AS phrase, count(*) AS df FROM gr JOIN sc ON gr.doc_id = sc.doc_id GROUP BY ALL)"
 
 
-@query("k05_phrase_frequencies", f"WITH {_PHRASES} SELECT * FROM cnt WHERE df >= 5")
+@query("k05_phrase_frequencies", f"WITH {_PHRASES} SELECT * FROM cnt")
 def k05(spark, d):
-    return _phrases(spark, d)[0].where("df >= 5")
+    return _phrases(spark, d)[0]
 
 
 _FOUND = f"{_PHRASES}, p AS (SELECT scope, phrase, sum(df) AS total_df FROM cnt WHERE half = 'discovery' GROUP BY ALL), e AS (SELECT scope, sum(total) AS every FROM tot WHERE half = 'discovery' GROUP BY 1), x AS (SELECT t.scope, t.label, p.phrase, coalesce(c.df, 0) AS tdf, t.total AS tt, p.total_df - coalesce(c.df, 0) AS odf, e.every - t.total AS ot FROM p JOIN tot t ON t.scope = p.scope AND t.half = 'discovery' JOIN e ON e.scope = p.scope LEFT JOIN cnt c ON c.scope = p.scope AND c.half = 'discovery' AND c.label = t.label AND c.phrase = p.phrase WHERE p.total_df >= 5), y AS (SELECT *, ln((tdf + 0.5) / (greatest(0, tt - tdf) + 0.5)) - ln((odf + 0.5) / (greatest(0, ot - odf) + 0.5)) AS lo FROM x)"

@@ -56,10 +56,31 @@ def test_calibration_bins(spark):
     assert [one(spark, labels.decile(F.lit(p))) for p in (0.0, 0.5, 0.999, 1.0)] == [0, 5, 9, 9]
 
 
-def test_stances():
-    patterns = stance._patterns(["1", "2", "3", "4"], ["strongly disagree", "disagree", "agree", "strongly agree"])
+def test_stances(spark):
+    options = ["1", "2", "3", "4"], ["strongly disagree", "disagree", "agree", "strongly agree"]
     cases = {"I strongly disagree": 0, "I disagree.": 1, "agree\nno, strongly agree": 3, "Answer: 2": 1, "2. maybe": 1, "nothing": None, "": None, None: None, "disagree then agree": 2}
-    assert {k: stance.stance_of(k, patterns) for k in cases} == cases
+    cases |= {"agree. Strongly disagree": 0, "**3.** fine": 2, "**3. fine": 2, "Option 4": 3, "Choice = 11": None, "2) strongly agree": 3, "disagreeable": None, "1\n2\n3": 2, "a\nb\nagree\nc\nd\ne\nf\ng": None}
+    assert {k: stance.stance_of(k, *options) for k in cases} == cases
+    got = spark.createDataFrame([(k,) for k in cases], "x string").select("x", stance.explicit_stance(F.col("x"), *options).alias("v")).collect()
+    assert {r["x"]: r["v"] for r in got} == cases
+
+
+def test_lines_keep_their_digits(spark):
+    assert one(spark, text.last_lines(F.col("x"), 3), row=("a\n1 b 1\n2) c 2\n3",)) == ["1 b 1", "2) c 2", "3"]
+    assert one(spark, text.hidden_and_visible(F.col("x"))["hidden"], row=("<think>0 a 0</think>x<think>1 b 1</think>",)) == "0 a 0\n1 b 1"
+
+
+def test_p_values_as_text(spark):
+    logs = [0.0, -0.5, -1.506, -2.0, -3.3, -3.9999, -4.0, -17.6, float("nan"), None]
+    got = [r["v"] for r in spark.createDataFrame([(v,) for v in logs], "x double").select(labels.p_text(F.col("x")).alias("v")).collect()]
+    assert got == [f"{10**v:.3g}" for v in logs[:6]] + ["1e-4", "1e-18", "n/a", "n/a"]
+
+
+def test_repeated_keys_of_a_side_fail(spark):
+    df = spark.createDataFrame([(1, "l", 1.0, 9.0), (1, "l", 5.0, 2.0), (1, "r", 3.0, 3.0)], "k int, s string, a double, b double")
+    with pytest.raises(Exception, match="several rows"):
+        pairs.matched(df, ["k"], F.col("s"), "l", "r", ["a", "b"]).collect()
+    assert pairs.matched(df.where("a > 1"), ["k"], F.col("s"), "l", "r", ["a"]).collect()[0].asDict() == {"k": 1, "a_left": 5.0, "a_right": 3.0}
 
 
 def test_special_functions():
