@@ -77,6 +77,29 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def write_manifest(df: DataFrame, path: str) -> None:
+    """A small table as one JSON-lines file: a manifest has a row for each file or run."""
+    df.coalesce(1).write.mode("error").json(path)
+
+
+def log_probability(record: Column, token: Column) -> Column:
+    """A log-probability from JSON of several shapes: an object with ``logprob``, such objects by token, or the number."""
+    by_token = F.from_json(record, "map<string,string>")
+    direct = F.get_json_object(record, "$.logprob")
+    inner = F.try_element_at(by_token, token)
+    found = F.coalesce(direct, F.get_json_object(inner, "$.logprob"), inner, record)
+    return found.try_cast("double")
+
+
+def input_items(rows: DataFrame, line: str, prompt: str = "prompt", candidates: str = "candidates") -> DataFrame:
+    """Lines that are plain prompts, or JSON objects with a prompt and candidates, as (prompt, candidates); blank ones go."""
+    kept = rows.where(F.length(F.trim(line)) > 0)
+    item = F.from_json(line, f"{prompt} string, {candidates} array<string>")
+    is_object = F.startswith(F.ltrim(line), F.lit("{")) & F.get_json_object(line, f"$.{prompt}").isNotNull()
+    others = [c for c in rows.columns if c != line]
+    return kept.select(*others, F.when(is_object, item[prompt]).otherwise(F.col(line)).alias(prompt), F.when(is_object, item[candidates]).alias(candidates))
+
+
 def read_log(spark: SparkSession, path: str, schema: str | T.StructType, strict: bool) -> DataFrame:
     """A JSON-lines log under a schema: a bad line fails (strict) or is left out."""
     if strict:
