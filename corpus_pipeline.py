@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, folder of tables) and returns a DataFrame that is written as Parquet and read
 again for the next. All but the last return the columns of ``documents``. SQL can't express the trained
-classifier, so there is no SQL for the whole; tests hold each stage against a brute-force version.
+classifier, so there is no SQL for the whole; tests/llm/test_pipeline.py holds each stage against a brute-force version.
 """
 
 from __future__ import annotations
