@@ -210,6 +210,23 @@ def test_banded_distance(spark, most):
     assert [r["d"] for r in got] == [min(most + 1, levenshtein(r["a"], r["b"])) for r in got]
 
 
+def brute_lines(rows):
+    """(id, kept text, lines dropped, lines) of (id, text) rows by comparing every two lines."""
+    first = {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        for p, line in enumerate((t or "").split("\n")):
+            if line.strip(" "):
+                first.setdefault(line, (i is None, i, p))
+    order = lambda x: (x[0], x[1] or 0, x[2])
+    near = {b for b in first for a in first if len(a) >= 32 and len(b) >= 32 and a != b and order(first[a]) < order(first[b]) and within(a, b, 2)}
+    out = []
+    for i, t in rows:
+        parts = [] if t is None else t.split("\n")
+        kept = [x for p, x in enumerate(parts) if not x.strip(" ") or (first[x] == (i is None, i, p) and x not in near)]
+        out.append((i, None if t is None else "\n".join(kept), len(parts) - len(kept), sum(bool(x.strip(" ")) for x in parts)))
+    return out
+
+
 def test_line_dedup(spark):
     rng, rows = random.Random(3), []
     stock = ["".join(rng.choice("abcdefgh é") for _ in range(rng.randrange(33, 70))) for _ in range(25)]
@@ -217,17 +234,7 @@ def test_line_dedup(spark):
         rows.append((i, "\n".join(edited(rng.choice(stock), rng.randrange(0, 4), rng) if rng.random() < 0.8 else rng.choice(["short", "", "  "]) for _ in range(6)), "s"))
     rows += [(50, None, "s"), (51, "", "s"), (None, stock[0], "s"), (52, stock[1] + "\n" + stock[1], "s"), (52, stock[1] + "\n" + stock[1], "s")]
     got = lines.dedup_lines(spark.createDataFrame(rows, DOCS).withColumn("n_lines", F.lit(-1))).collect()
-    first = {}
-    for i, t, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        for p, line in enumerate((t or "").split("\n")):
-            if line.strip(" "):
-                first.setdefault(line, (i is None, i, p))
-    order = lambda x: (x[0], x[1] or 0, x[2])
-    near = {b for b in first for a in first if len(a) >= 32 and len(b) >= 32 and a != b and order(first[a]) < order(first[b]) and levenshtein(a, b) <= 2}
-    want = []
-    for i, t, _ in rows:
-        kept = None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if not x.strip(" ") or (first[x] == (i is None, i, p) and x not in near))
-        want.append((i is None, i or 0, kept is None, kept or ""))
+    want = [(i is None, i or 0, kept is None, kept or "") for i, kept, _, _ in brute_lines([r[:2] for r in rows])]
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] is None, r["text"] or "") for r in got) == sorted(want)
 
 
