@@ -121,15 +121,24 @@ def fisher_combined(anovas: DataFrame, by: Sequence[str]) -> DataFrame:
     return out.withColumn("log10p", log10_tail(F.col("chi2"), F.col("k")))
 
 
-def log10_tail(x: Column, k: Column, most: int = 64) -> Column:
-    """log10 of the chi-square tail with 2k degrees of freedom, an expression; k up to ``most``."""
-    logs = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(most)])
-    terms = F.transform(F.sequence(F.lit(0), F.least(k, F.lit(most)).cast("int") - 1), lambda i: F.when(i == 0, F.lit(0.0)).otherwise(i * F.ln(x / 2)) - F.get(logs, i))
-    top = F.array_max(terms)
-    total = F.aggregate(terms, F.lit(0.0), lambda s, t: s + F.exp(t - top))
-    exact = (-x / 2 + top + F.ln(total)) / math.log(10)
-    leading = (-x / 2 + F.get(terms, k.cast("int") - 1)) / math.log(10)
-    return F.when(x <= 0, F.lit(0.0)).when(exact >= -308, exact).otherwise(leading)
+def log10_tail(x: Column, k: Column) -> Column:
+    """log10 of the chi-square tail with 2k degrees of freedom, an expression: k terms, each from the one before."""
+    start = F.struct(F.lit(0.0).alias("term"), F.lit(0.0).alias("top"), F.lit(1.0).alias("sum"))
+
+    def add(acc: Column, i: Column) -> Column:
+        term = acc["term"] + F.ln(x / 2) - F.ln(i.cast("double"))
+
+        def merged(t: Column) -> Column:
+            top = F.greatest(acc["top"], t)
+            return F.struct(t.alias("term"), top.alias("top"), (acc["sum"] * F.exp(acc["top"] - top) + F.exp(t - top)).alias("sum"))
+
+        return F.transform(F.array(term), merged)[0]
+
+    steps = F.when(k > 1, F.sequence(F.lit(1), k.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    exact = lambda acc: (-x / 2 + acc["top"] + F.ln(acc["sum"])) / math.log(10)
+    leading = lambda acc: (-x / 2 + acc["term"]) / math.log(10)
+    tail = F.aggregate(steps, start, add, lambda acc: F.when(exact(acc) >= -308, exact(acc)).otherwise(leading(acc)))
+    return F.when(x <= 0, F.lit(0.0)).otherwise(tail)
 
 
 def variation(df: DataFrame, model: str, stratum: str, factors: Sequence[str], score: str, blur: str, persona_factor: str | None = None) -> DataFrame:

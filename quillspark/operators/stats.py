@@ -117,11 +117,10 @@ def cohen_dz(df: DataFrame, groups: Sequence[str], difference: Column) -> DataFr
 
 
 def errors(df: DataFrame, groups: Sequence[str], truth: str, predicted: str) -> DataFrame:
-    """n, RMSE, MAE and R squared."""
-    mean = F.avg(truth).over(Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1)))
-    rows = df.select(*groups, truth, predicted).withColumn("_m", mean)
-    e2, t2 = F.pow(F.col(truth) - F.col(predicted), F.lit(2.0)), F.pow(F.col(truth) - F.col("_m"), F.lit(2.0))
-    return rows.groupBy(*groups).agg(F.count("*").alias("n"), F.sqrt(F.avg(e2)).alias("rmse"), F.avg(F.abs(F.col(truth) - F.col(predicted))).alias("mae"), (1 - F.try_divide(F.sum(e2), F.sum(t2))).alias("r2"))
+    """n, RMSE, MAE and R squared: one pass of partial aggregates."""
+    e2 = F.pow(F.col(truth) - F.col(predicted), F.lit(2.0))
+    whole = F.var_pop(truth) * F.count(truth)
+    return df.groupBy(*groups).agg(F.count("*").alias("n"), F.sqrt(F.avg(e2)).alias("rmse"), F.avg(F.abs(F.col(truth) - F.col(predicted))).alias("mae"), (1 - F.try_divide(F.sum(e2), whole)).alias("r2"))
 
 
 def cluster_contrast(df: DataFrame, groups: Sequence[str], cluster: Sequence[str], difference: Column) -> DataFrame:

@@ -28,6 +28,8 @@ def local(cores: int | str = 8, memory: str = "8g", **settings: str) -> SparkSes
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that executors share, for intermediate tables: ``spark.checkpoint.dir``, else a local one."""
+    """The folder that executors share, for intermediate tables: ``spark.checkpoint.dir``; a local one in local mode alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return base.rstrip("/") if base else f"/tmp/quillspark-{os.getuid()}"

@@ -65,6 +65,14 @@ def test_stances(spark):
     assert {r["x"]: r["v"] for r in got} == cases
 
 
+def test_chi_square_tail_of_many_strata(spark):
+    from quillspark.operators import sensitivity
+
+    for x, k in ((200.0, 100), (3000.0, 3), (10.0, 1), (0.0, 5), (500.0, 400), (90.0, 64)):
+        got = one(spark, sensitivity.log10_tail(F.lit(x), F.lit(k)))
+        assert got == pytest.approx(special.chi2_log10_tail(x, k), rel=1e-9, abs=1e-9)
+
+
 def test_lines_keep_their_digits(spark):
     assert one(spark, text.last_lines(F.col("x"), 3), row=("a\n1 b 1\n2) c 2\n3",)) == ["1 b 1", "2) c 2", "3"]
     assert one(spark, text.hidden_and_visible(F.col("x"))["hidden"], row=("<think>0 a 0</think>x<think>1 b 1</think>",)) == "0 a 0\n1 b 1"
