@@ -17,8 +17,10 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; a local folder only where that is unset (tests)."""
+    """A new path below ``spark.checkpoint.dir``; a local folder only in local mode with that unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not base:
         base = os.path.join(tempfile.gettempdir(), f"quillspark-{os.getuid()}")
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
