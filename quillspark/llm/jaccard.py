@@ -14,10 +14,10 @@ bucket. The order is free, so cells that a sample of documents shows to be frequ
 documents share) come last; most documents never emit them.
 
 *Verify.* A bucket isn't expanded into its pairs. Sorted by size, it parts where the next set is more than 4/3 as large
-as the one before, as no link crosses that. Each member of a part is paired with its first one, and the members that
-have the same first are a bundle. A task reads its buckets sorted and holds one row; buckets of frequent cells, of
-bounded number, are not dealt by their key at all but parted by size class (a set goes to its own and the one above, so
-that any two that may link share one): their first members are partial aggregates. The pairs are first held against parity sketches of single bits, one or more a
+as the one before, as no link crosses that. Each member of a part is paired with its smallest id, and the members that
+have the same smallest id are a bundle. A task reads its buckets sorted and holds the ids of one part; buckets of
+frequent cells, of bounded number, are not dealt by their key at all but parted by size class (a set goes to its own and
+the one above, so that any two that may link share one): their smallest ids are partial aggregates. The pairs are first held against parity sketches of single bits, one or more a
 shingle, whose Hamming distance also bounds the symmetric difference from below; what passes is tested on the full
 sets. Links give components. Only bundles whose members are still in several components go on: of the pairs across
 components that the bit sketches allow, some of each two components are tested, more of them each round, until none
@@ -172,7 +172,7 @@ def bits_apart(x: bytes, y: bytes) -> int:
 _ROW = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
 _ROW_DDL = "kind byte, a long, b long, n long, bits binary"
 #: Rows between the stages: a document (a: id, n: size, bits: its sketch if it emits cells), a link (a, b), a bucket's
-#: member (first a: bucket, then a: the first of its part; b: id), a document whose cells prove nothing, a member of a
+#: member (first a: bucket, then a: the smallest id of its part; b: id), a document whose cells prove nothing, a member of a
 #: frequent cell's bucket (a: bucket; b: id).
 DOC, LINK, MEMBER, WEAK, HOT = range(5)
 
@@ -226,32 +226,41 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each member of a part of a bucket: the part's first. Rows come sorted by a, n and b; other kinds pass.
+    """For each member of a part of a bucket: the part's smallest id. Rows come sorted by a, n and b; other kinds pass.
 
-    Of the pairs at most twice :data:`PAIRS` are held.
+    Held are the ids of the part that is open, and of the pairs at most twice :data:`PAIRS`.
     """
-    last, last_n, least = None, 0, 0
+    open_ = [np.zeros(0, np.int64)] * 3
     held, rows = np.zeros((2, 0), np.int64), 0
+
+    def paired(key: np.ndarray, doc: np.ndarray, n: np.ndarray, last: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The pairs of all parts that have ended, and the rows of the one that has not."""
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (3 * n[1:] > 4 * n[:-1])]))
+        end = len(key) if last else starts[-1]
+        rest = [x[end:] for x in (key, doc, n)]
+        doc, starts = doc[:end], starts[starts < end]
+        if not len(doc):
+            return np.zeros((2, 0), np.int64), rest
+        least = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, end)))
+        return np.stack([least, doc])[:, least != doc], rest
+
     for b in batches:
         is_member = pa.compute.equal(b.column(0), MEMBER)
         if (other := b.filter(pa.compute.invert(is_member))).num_rows:
             yield other
-        key, doc, n = (c.to_numpy(zero_copy_only=False) for c in b.filter(is_member).columns[1:4])
-        if not len(key):
+        own = [c.to_numpy(zero_copy_only=False) for c in b.filter(is_member).columns[1:4]]
+        if not len(own[0]):
             continue
-        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (3 * n[1:] > 4 * n[:-1])]))
-        first = doc[starts]
-        if key[0] == last and 3 * n[0] <= 4 * last_n:  # a part that began in the batch before
-            first[0] = least
-        last, last_n, least = key[-1], n[-1], first[-1]
-        first = np.repeat(first, np.diff(np.append(starts, len(key))))
+        pairs, open_ = paired(*[np.concatenate([x, y]) for x, y in zip(open_, own, strict=True)], False)
         # Copies meet in many buckets: pairs go on once in so many.
-        held = np.concatenate([held, np.stack([first, doc])[:, first != doc]], axis=1)
+        held = np.concatenate([held, pairs], axis=1)
         if held.shape[1] >= rows + PAIRS:
             held = np.unique(held, axis=1)
             if (rows := held.shape[1]) >= PAIRS:
                 yield _rows(MEMBER, held[0], held[1], np.zeros(rows, np.int64))
                 held, rows = held[:, :0], 0
+    if len(open_[0]):
+        held = np.concatenate([held, paired(*open_, True)[0]], axis=1)
     if held.shape[1]:
         held = np.unique(held, axis=1)
         yield _rows(MEMBER, held[0], held[1], np.zeros(held.shape[1], np.int64))
@@ -408,13 +417,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         scale *= 4  # with more cells fewer shingles share one; with one each, all are proof
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9)
     hot = found.where(F.col("kind") == HOT).select(F.col("a").alias("key"), "n", "b", F.explode(F.array(size_class, size_class + 1)).alias("class"))
-    least = stored(hot.groupBy("key", "class").agg(F.min(F.struct("n", "b")).alias("first"), F.count("*").alias("members")).where("members > 1").select("key", "class", F.col("first.b").alias("a")), "jaccard-firsts")
+    least = stored(hot.groupBy("key", "class").agg(F.min("b").alias("a"), F.count("*").alias("members")).where("members > 1").select("key", "class", "a"), "jaccard-firsts")
     hot = hot.join(small(least), ["key", "class"]).where("a <> b").select("a", "b")
     bundles = stored(found.where(F.col("kind") == MEMBER).select("a", "b").unionByName(hot).distinct(), "jaccard-bundles")
     pairs = stored(possible(found, bundles), "jaccard-pairs")
     links = stored(found.where(F.col("kind") == LINK).select("a", "b").unionByName(verified(docs, pairs, words)), "jaccard-links")
     components = connected(links)
-    # A bundle's first has been tested against all its members; two members in different components have not.
+    # A bundle's smallest id has been tested against all its members; two members in different components have not.
     members = stored(bundles.join(bundles.groupBy("a").count().where("count > 1").select("a"), "a", "left_semi"), "jaccard-members")
     sketches = found.where((F.col("kind") == DOC) & F.col("bits").isNotNull()).select(F.col("a").alias("b"), "n", "bits")
     most = 16
