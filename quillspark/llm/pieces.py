@@ -1,17 +1,22 @@
 """Operator 6, SentencePiece encoding and decoding: a relational lattice of words.
 
-A text, its spaces written as the piece mark, falls into words no piece crosses: a run of marks with what
-follows up to the next mark, and each line end. Words of a block of rows are made distinct; each is exploded
-into its substrings of at most the longest piece's length, and an equi-join with the piece table keeps the
-lattice's edges. Edges are grouped by word, and a higher-order aggregate folds them:
+A text, its spaces written as the piece mark, is cut wherever no piece could cross: at word and line ends, and between
+two characters that stand side by side in no piece. What lies between two cuts is a segment. The segments of a block
+of rows are made distinct; each is exploded into its substrings of at most the longest piece's length, and an
+equi-join with the piece table keeps the lattice's edges. Edges are grouped by segment, and a higher-order aggregate
+folds them:
 
 * ``unigram`` models: Viterbi, the path of the largest sum of scores, by ends;
 * ``bpe`` models (the given one): a sum of scores is not what such a model means, so the fold applies its merges
-  instead: of all neighbours whose union is an edge, that of the best score, leftmost first, until none is left.
+  instead. Edges come best score first, leftmost first; one whose ends are both still cuts, with one cut between
+  them, merges. That is the model's own order if no piece is made of a later one, which :func:`in_order` checks.
 
-Characters without a piece become byte pieces, or the unknown piece where the model has none. Words longer than
-``lattice_chars`` go through the same rule by a heap in Python, which keeps the lattice's rows linear in the text.
-Ids return to their rows by block, a bounded number of rows, so nothing is joined word by word over the corpus.
+Characters without a piece become byte pieces, or the unknown piece where the model has none. Segments longer than
+``lattice_chars`` (at most 62, the bits of the fold's state), and all segments of a model that isn't in order, go
+through the same rule by a heap in Python, which keeps the lattice's rows linear in the text. Texts travel
+compressed, beside their block's segments, so nothing is joined word by word over the corpus. A block ends at
+``block_chars`` characters. Where a source gives its rows in another order when it is read again, blocks can differ
+between both reads; a segment that its block lacks then goes through the heap too, with the same ids.
 
 Defined cases: null or empty text has no ids; repeated rows and null ids are rows like others; an empty table gives
 no rows; other columns are ignored. Decoding gives the text itself wherever the model's pieces or bytes can.
@@ -21,10 +26,13 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +54,11 @@ class Pieces:
     def longest(self) -> int:
         return max(map(len, self.table), default=1)
 
+    @cached_property
+    def neighbours(self) -> set[str]:
+        """Pairs of characters that stand side by side in a piece; no piece crosses any other pair."""
+        return {w[i : i + 2] for w in self.table for i in range(len(w) - 1)}
+
 
 def default_model() -> str:
     import public_tokenizers
@@ -67,6 +80,12 @@ def words_of(text: str) -> list[str]:
     return _WORDS.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
+def segments_of(word: str, pieces: Pieces) -> list[str]:
+    near = pieces.neighbours
+    cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in near), len(word)]
+    return [word] if len(cuts) == 2 else [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def spelled(c: str, pieces: Pieces) -> list[int]:
     """Ids of one character: its piece, else its bytes, else the unknown piece."""
     if c in pieces.table:
@@ -74,8 +93,8 @@ def spelled(c: str, pieces: Pieces) -> list[int]:
     return [pieces.bytes_[b] for b in c.encode("utf-8", "surrogatepass")] if pieces.bytes_ else [pieces.unknown]
 
 
-def merged(word: str, pieces: Pieces) -> list[int]:
-    """BPE ids of one word by a heap of merges: O(n log n), for words that are too long for a lattice."""
+def merges(word: str, pieces: Pieces) -> Iterator[tuple[int, str, list[str | None]]]:
+    """BPE by a heap, O(n log n): each merge's place and union, with the parts (None: merged into an earlier one) after it."""
     parts: list[str | None] = list(word)
     after, before = [*range(1, len(parts)), -1], [-1, *range(len(parts) - 1)]
     heap: list[tuple] = []
@@ -97,54 +116,76 @@ def merged(word: str, pieces: Pieces) -> list[int]:
             before[after[j]] = i
         offer(before[i])
         offer(i)
+        yield i, both, parts
+
+
+def merged(word: str, pieces: Pieces) -> list[int]:
+    """BPE ids of a word of any length."""
+    parts: list[str | None] = list(word)
+    for _, _, parts in merges(word, pieces):  # noqa: B007
+        pass
     return [k for p in parts if p is not None for k in ([pieces.table[p][0]] if p in pieces.table else spelled(p, pieces))]
 
 
+def in_order(pieces: Pieces) -> bool:
+    """Whether every piece that merges can make is made with scores that fall from merge to merge."""
+    for word in pieces.table:
+        scores = [pieces.table[both][1] for _, both, _ in merges(word, pieces)]
+        if len(word) > 1 and scores != sorted(scores, reverse=True) and len(merged(word, pieces)) == 1:
+            return False
+    return True
+
+
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     return spark.createDataFrame([(k, i, float(s)) for k, (i, s) in pieces.table.items()], "piece string, id int, score double")
 
 
 def lattice(words: DataFrame, table: DataFrame, least: int, longest: int, keys: list[str]) -> DataFrame:
-    """``words`` (keys, word) with their edges of ``least`` characters or more: a map from :func:`_span` to the score."""
+    """``words`` (keys, word) with their edges of ``least`` characters or more, sorted: (cost, at, size). Words without any are left out."""
     n = F.char_length("word")
     at = words.where(n >= least).select("*", n.alias("n"), F.explode(F.sequence(F.lit(0), n - least)).alias("at"))
-    spans = at.select("*", F.explode(F.sequence(F.lit(least), F.least(F.lit(longest), F.col("n") - F.col("at")))).alias("size"))
+    spans = at.select(*keys, "word", "at", F.explode(F.sequence(F.lit(least), F.least(F.lit(longest), F.col("n") - F.col("at")))).alias("size"))
     # A vocabulary is of a fixed size, some ten thousands of rows.
-    edges = spans.withColumn("piece", F.substr("word", F.col("at") + 1, F.col("size"))).join(F.broadcast(table), "piece", "left")
-    one = F.when(F.col("score").isNotNull(), F.struct(_span(F.col("at"), F.col("size")).alias("k"), F.col("score").alias("v")))
-    return edges.groupBy(*keys, "word").agg(F.map_from_entries(F.collect_list(one)).alias("edges"))
+    edges = spans.withColumn("piece", F.substr("word", F.col("at") + 1, F.col("size"))).join(F.broadcast(table), "piece")
+    one = F.struct((-F.col("score")).alias("cost"), "at", "size")
+    return edges.groupBy(*keys, "word").agg(F.array_sort(F.collect_list(one)).alias("edges"))
 
 
 def _span(at: Column, size: Column) -> Column:
     return (at * 256 + size).cast("int")
 
 
+def _bits(at: Column, size: Column) -> Column:
+    """``size`` bits from bit ``at``."""
+    one = F.lit(1).cast("long")
+    return F.call_function("shiftleft", F.call_function("shiftleft", one, size) - 1, at)
+
+
 def fold_merges(word: Column, edges: Column) -> Column:
-    """Cuts of a word, 0 to its length, after all merges of the best scores."""
+    """Cuts of a word of at most 62 characters, 0 to its length, after all merges: a bit a cut while it folds."""
     n = F.char_length(word)
-    none = float("-inf")
 
-    def step(cuts: Column, _: Column) -> Column:
-        def union(k: Column) -> Column:
-            at = F.get(cuts, k)
-            return F.struct(F.coalesce(F.try_element_at(edges, _span(at, F.get(cuts, k + 2) - at)), F.lit(none)).alias("score"), (-k).alias("k"))
+    def step(cuts: Column, e: Column) -> Column:
+        within = cuts.bitwiseAND(_bits(e["at"] + 1, e["size"] - 1))
+        ends = cuts.bitwiseAND(_bits(e["at"], F.lit(1)).bitwiseOR(_bits(e["at"] + e["size"], F.lit(1))))
+        return F.when((F.bit_count(ends) == 2) & (F.bit_count(within) == 1), cuts.bitwiseXOR(within)).otherwise(cuts)
 
-        best = F.array_max(F.transform(F.sequence(F.lit(0), F.size(cuts) - 3), union))
-        gone = F.transform(F.array(best), lambda b: F.when(b["score"] == none, cuts).otherwise(F.filter(cuts, lambda c, j: j != 1 - b["k"])))[0]
-        return F.when(F.size(cuts) > 2, gone).otherwise(cuts)
+    def cuts(mask: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), n), lambda i: mask.bitwiseAND(_bits(i, F.lit(1))) != 0)
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), step)
+    return F.aggregate(edges, _bits(F.lit(0), n + 1), step, cuts)
 
 
 def fold_viterbi(word: Column, edges: Column, longest: int, unknown: float = -1e6) -> Column:
     """Cuts of the path with the largest sum of scores; a character without an edge costs ``unknown``; ties: the longer last piece."""
     n = F.char_length(word)
+    scores = F.map_from_entries(F.transform(edges, lambda e: F.struct(_span(e["at"], e["size"]), -e["cost"])))
     start = F.array(F.struct(F.lit(0.0).alias("s"), F.array(F.lit(0)).alias("cuts")))
 
     def step(best: Column, end: Column) -> Column:
         def path(size: Column) -> Column:
             prior = F.get(best, end - size)
-            score = F.try_element_at(edges, _span(end - size, size))
+            score = F.try_element_at(scores, _span(end - size, size))
             score = F.coalesce(score, F.when(size == 1, F.lit(unknown)))
             return F.when(score.isNotNull(), F.struct((prior["s"] + score).alias("s"), size.alias("size"), F.concat(prior["cuts"], F.array(end)).alias("cuts")))
 
@@ -155,7 +196,7 @@ def fold_viterbi(word: Column, edges: Column, longest: int, unknown: float = -1e
 
 
 def cut_words(words: DataFrame, table: DataFrame, kind: str, longest: int, keys: list[str]) -> DataFrame:
-    """(keys, word, cuts): where the word's pieces begin, and its end; words that no edge reaches are left out."""
+    """(keys, word, cuts): where the word's pieces begin, and its end; words that no edge reaches are left out: each character is one piece."""
     if kind == "bpe":
         edges = lattice(words, table, 2, longest, keys)
         return edges.select(*keys, "word", fold_merges(F.col("word"), F.col("edges")).alias("cuts"))
@@ -163,52 +204,86 @@ def cut_words(words: DataFrame, table: DataFrame, kind: str, longest: int, keys:
     return edges.select(*keys, "word", fold_viterbi(F.col("word"), F.col("edges"), longest).alias("cuts"))
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, kind: str = "bpe", block_rows: int = 4096, lattice_chars: int = 32) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, kind: str = "bpe", block_chars: int = 1 << 23, lattice_chars: int = 32) -> DataFrame:
     """(id, ids): each row's piece ids."""
+    if not 1 < lattice_chars <= 62:
+        raise ValueError("lattice_chars: 2 to 62")
     pieces = load(model or default_model(), kind)
+    longest_segment = lattice_chars if kind != "bpe" or in_order(pieces) else 0
     spark = docs.sparkSession
-    row = F.monotonically_increasing_id()
-    # A block: neighbours in one partition of the scan, which both uses below read alike.
-    rows = docs.select(F.floor(row / block_rows).alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.spark_partition_id().alias("part"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     told = spark.sparkContext.broadcast(pieces)
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, seen = None, set()
-
-        def out() -> pa.RecordBatch:
-            short = [w for w in seen if 1 < len(w) <= lattice_chars]
-            return pa.RecordBatch.from_arrays([pa.array([block] * len(short), pa.int64()), pa.array(short, pa.string())], names=["block", "word"])
-
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+        """Slices of at most about a sixteenth of a block, each with its block's number."""
+        number, total, most = 0, 0, max(1, block_chars // 16)
         for b in batches:
-            for k, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if k != block:
-                    if seen:
-                        yield out()
-                    block, seen = k, set()
+            part, sizes = b.column(0)[0].as_py() if b.num_rows else 0, pc.binary_length(b.column(2)).to_pylist()
+            start = own = 0
+            for i, size in enumerate(sizes):
+                own += size or 0
+                if own >= most or i + 1 == len(sizes):
+                    yield (part << 32) + number, b.slice(start, i + 1 - start)
+                    total, start, own = total + own, i + 1, 0
+                    if total >= block_chars:
+                        number, total = number + 1, 0
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: int | None = None
+        seen: set[str] = set()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            own = sorted({x for w in seen for x in segments_of(w, told.value) if 1 < len(x) <= longest_segment})
+            for k in range(0, len(own), 50_000):
+                some = own[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.string())], names=["block", "word"])
+
+        for k, b in blocks(batches):
+            if k != block:
+                yield from out()
+                block, seen = k, set()
+            for text in b.column(2):
                 seen.update(words_of(text.as_py() or ""))
-        if seen:
-            yield out()
+        yield from out()
 
-    words = rows.select("block", "text").mapInArrow(distinct, "block long, word string").repartition("block")
+    def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, b in blocks(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, pa.schema([("doc_id", pa.int64()), ("text", pa.string())]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                to.write_batch(pa.RecordBatch.from_arrays([b.column(1), b.column(2).cast(pa.string())], names=["doc_id", "text"]))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "texts"])
+
+    words = rows.mapInArrow(distinct, "block long, word string").repartition("block")
     found = cut_words(words, piece_table(spark, pieces), kind, pieces.longest, ["block"])
 
     def assemble(texts: pa.Table, spans: pa.Table) -> pa.Table:
         p = told.value
+        cuts_of = dict(zip(spans.column("word").to_pylist(), spans.column("cuts").to_pylist(), strict=True))
         known: dict[str, list[int]] = {}
-        for word, cuts in zip(spans.column("word").to_pylist(), spans.column("cuts").to_pylist(), strict=True):
-            parts = [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-            known[word] = [i for x in parts for i in ([p.table[x][0]] if x in p.table else [k for c in x for k in spelled(c, p)])]
-        ids = []
-        for text in texts.column("text"):
-            own: list[int] = []
-            for w in words_of(text.as_py() or ""):
-                if (x := known.get(w)) is None:
-                    x = known[w] = spelled(w, p) if len(w) == 1 else long_word(w, p)
-                own += x
-            ids.append(own)
-        return pa.table({"doc_id": texts.column("doc_id"), "ids": pa.array(ids, pa.list_(pa.int32()))})
-
-    return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(assemble, "doc_id long, ids array<int>")
+
+        def ids_of(segment: str) -> list[int]:
+            if len(segment) == 1:
+                return spelled(segment, p)
+            if (cuts := cuts_of.get(segment)) is None:
+                return long_word(segment, p)
+            parts = [segment[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            return [i for x in parts for i in ([p.table[x][0]] if x in p.table else [k for c in x for k in spelled(c, p)])]
+
+        doc_ids, ids, ends = [], array("i"), [0]
+        for sent in texts.column("texts"):
+            own = pa.ipc.open_stream(sent.as_buffer()).read_all()
+            doc_ids += own.column("doc_id").to_pylist()
+            for text in own.column("text"):
+                for w in words_of(text.as_py() or ""):
+                    if (x := known.get(w)) is None:
+                        x = known[w] = [i for s in segments_of(w, p) for i in ids_of(s)]
+                    ids.extend(x)
+                ends.append(len(ids))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)]))
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": lists})
+
+    sent = rows.mapInArrow(compressed, "block long, texts binary")
+    return sent.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(assemble, "doc_id long, ids array<int>")
 
 
 def long_word(word: str, pieces: Pieces) -> list[int]:

@@ -266,6 +266,33 @@ def test_pieces_equal_the_library(spark):
     assert all(back[i] == (t or "").replace("▁", " ") for i, t in texts.items())
 
 
+def test_pieces_of_all_documents_equal_the_library(spark):
+    """Ids by small blocks, and the lattice's own cuts, so that no fallback stands in for it."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    table = pieces.load(pieces.default_model())
+    assert pieces.in_order(table)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r["ids"] for r in pieces.encode(docs, block_chars=1 << 18).collect()}
+    assert got == {i: model.encode(t) if t else [] for i, t in texts.items()}
+    own = sorted({s for t in texts.values() for w in pieces.words_of(t or "") for s in pieces.segments_of(w, table) if 1 < len(s) <= 62})[::7]
+    found = pieces.cut_words(spark.createDataFrame([(w,) for w in own], "word string"), pieces.piece_table(spark, table), "bpe", table.longest, [])
+    cuts = {r["word"]: r["cuts"] for r in found.collect()}
+    for w in own:
+        parts = [w[a:b] for a, b in zip(c, c[1:])] if (c := cuts.get(w)) else list(w)
+        assert [k for x in parts for k in ([table.table[x][0]] if x in table.table else [k for c in x for k in pieces.spelled(c, table)])] == pieces.merged(w, table)
+
+
+def test_pieces_out_of_order_go_by_the_heap(spark):
+    """abc is made of bc, which comes after it: in the order of pieces it would be missed."""
+    table = pieces.Pieces("bpe", {"a": (0, -9.0), "b": (1, -9.0), "c": (2, -9.0), "abc": (3, -1.0), "bc": (4, -2.0)}, {}, 5, [])
+    assert not pieces.in_order(table)
+    assert pieces.merged("abc", table) == [3]
+    assert pieces.segments_of("abca", table) == ["abc", "a"]
+
+
 def test_viterbi_fold(spark):
     table = pieces.load(pieces.default_model(), "unigram")
     rows = [(1, "hello world internationalization", ""), (2, "🙂x y", ""), (3, "▁▁ a", "")]
