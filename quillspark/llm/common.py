@@ -32,18 +32,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def delete(df: DataFrame) -> None:
+    """Delete a table that :func:`stored` returned and that nothing reads any more."""
+    own = (df.sparkSession, df._stored_path)
+    _remove(*own)
+    _written.remove(own)
 
 
 @atexit.register
 def release() -> None:
     """Delete what :func:`stored` wrote, at the end of the driver program."""
     while _written:
-        spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(*_written.pop())
         except Exception:  # the session has ended; its scratch folder is the cluster's to clear
             return
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillspark.llm import ann, counts, jaccard, langid, lines, media, packing, pieces, urls, warc
+from quillspark.llm import ann, codes, counts, jaccard, langid, likelihood, lines, media, packing, pieces, resample, urls, warc
 
-#: Modules of the ten operators, in order. A module may hold ORACLE_SQL for its query.
-MODULES = (urls, packing, counts, lines, langid, pieces, media, ann, jaccard, warc)
+#: Modules of the operators, in order. A module may hold ORACLE_SQL for its query.
+MODULES = (urls, packing, counts, lines, langid, pieces, media, ann, jaccard, warc, codes, resample, likelihood)
 
 
 def _name(k: int, module) -> str:

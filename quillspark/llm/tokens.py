@@ -6,6 +6,7 @@ import json
 import os
 import sys
 from array import array
+from collections.abc import Iterator
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -88,3 +89,19 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def byte_table(keep) -> bytes:
+    """For ``bytes.translate``: A-Z in lower case, bytes that ``keep`` refuses as spaces."""
+    return bytes(c + 32 if 65 <= c <= 90 else c if keep(c) else 32 for c in range(256))
+
+
+def byte_words(text: bytes, table: bytes, most: int = 1 << 22) -> Iterator[list[bytes]]:
+    """The words of a text in lists of about ``most`` bytes each, so that a long text is never held as one list."""
+    text = text.translate(table)
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + most)
+        end = len(text) if end < 0 else end
+        yield text[at:end].split()
+        at = end
