@@ -9,7 +9,8 @@ reads whole texts; as embedding and layer are linear, a bucket's contribution to
 
 Defined cases: text that is null or has no letter is ``und`` with score 0, rejected; so is every text if no
 row is labelled; null and repeated ids are rows like others; an empty table gives no rows; :func:`identify`
-keeps all columns and replaces any that are named like its own.
+keeps all columns and replaces any that are named like its own, in whatever case. A text's result doesn't hang on the
+texts beside it.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import types as T
 UNKNOWN = "und"
 _CHUNK = 1 << 17
 _ALL = 1 << 62
+#: Spaces after each text: what its last n-grams reach into, where none begins.
+_PAD = 3
 _letter: list[np.ndarray] = []
 
 
@@ -44,13 +47,13 @@ class Model:
 
     def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Class scores before the softmax, share of known n-grams, and whether there is a letter, a row a text."""
-        points, starts = code_points(texts)
+        points, begins, starts = code_points(texts)
         total = np.zeros((len(texts), len(self.languages)))
-        known, count = np.zeros(len(texts)), np.diff(np.append(starts, len(points))) * len(self.sizes)
-        for h in buckets(points, self.sizes, len(self.table)):
+        known, count = np.zeros(len(texts)), np.diff(np.append(starts, len(begins))) * len(self.sizes)
+        for h in buckets(points, begins, self.sizes, len(self.table)):
             total += np.add.reduceat(self.table[h], starts, axis=0, dtype=np.float64)
             known += np.add.reduceat(self.seen[h], starts, dtype=np.float64)
-        lettered = np.add.reduceat(points != 32, starts) > 0
+        lettered = np.add.reduceat(points[begins] != 32, starts) > 0
         return total / count[:, None] + self.bias, known / count, lettered
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -72,26 +75,31 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased code points of all texts, others than letters as spaces; where each text starts.
+def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased code points of all texts, others than letters as spaces; the places where n-grams begin; each text's first of these.
 
-    Before each text stands a space, and three more close it for its last n-grams.
+    A space stands before each text, where n-grams begin too, and :data:`_PAD` of them after it, where none do: no
+    n-gram reaches the next text.
     """
     if not _letter:
         _letter.append(np.frombuffer(bytes(chr(c).isalpha() for c in range(0x110000)), bool))
-    padded = [f" {t.lower()}   " for t in texts]
+    padded = [f" {t.lower()}{' ' * _PAD}" for t in texts]
     points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4")
-    starts = np.cumsum([0, *map(len, padded)])[:-1]
-    return np.where(_letter[0][points], points, np.uint32(32)), starts
+    sizes = np.array([len(t) for t in padded])
+    begins = np.ones(len(points), bool)
+    for k in range(1, _PAD + 1):
+        begins[np.cumsum(sizes) - k] = False
+    starts = np.cumsum(sizes - _PAD) - (sizes - _PAD)
+    return np.where(_letter[0][points], points, np.uint32(32)), np.flatnonzero(begins), starts
 
 
-def buckets(points: np.ndarray, sizes: tuple[int, ...], table: int) -> Iterator[np.ndarray]:
-    """For each n-gram size the bucket of the n-gram that starts at each point."""
+def buckets(points: np.ndarray, begins: np.ndarray, sizes: tuple[int, ...], table: int) -> Iterator[np.ndarray]:
+    """For each n-gram size (at most one more than the padding) the bucket of the n-gram that begins at each of ``begins``."""
     own = table // len(sizes)
     for k, n in enumerate(sizes):
-        h = np.zeros(len(points), np.uint32)
+        h = np.zeros(len(begins), np.uint32)
         for j in range(n):
-            h[: len(points) - j] = h[: len(points) - j] * np.uint32(0x01000193) + points[j:] * np.uint32(0x9E3779B1)
+            h = h * np.uint32(0x01000193) + points[begins + j] * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x85EBCA6B)
         yield (h >> np.uint32(13)) % np.uint32(own) + np.uint32(k * own)
@@ -118,10 +126,10 @@ def train(texts: list[str], labels: list[str], size: int = 3 * 32_768, width: in
         for i in chosen:
             at = rng.integers(max(1, len(texts[i]) - 20))
             windows.append(texts[i][at : at + int(rng.integers(20, 300))])
-        points, starts = code_points(windows)
-        lengths = np.diff(np.append(starts, len(points)))
+        points, begins, starts = code_points(windows)
+        lengths = np.diff(np.append(starts, len(begins)))
         row = np.tile(np.repeat(np.arange(batch), lengths), len(model.sizes))
-        hit = np.concatenate(list(buckets(points, model.sizes, size)))
+        hit = np.concatenate(list(buckets(points, begins, model.sizes, size)))
         model.seen[hit] = 1
         share = 1.0 / (lengths * len(model.sizes))
         x = np.stack([np.bincount(row, emb[hit, k], batch) for k in range(width)], axis=1) * share[:, None]
@@ -164,7 +172,7 @@ def calibrate(model: Model, texts: list[str], labels: list[str], rng: np.random.
 
 
 def _remainder(id_col: str) -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
+    return F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 4
 
 
 def share_of(wanted: int, count: int) -> int:
@@ -196,8 +204,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``held_out``, ``lang_pred``, ``score`` and ``rejected``."""
     new = T.StructType([T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    names = [c for c in docs.columns if c not in new.fieldNames()]
-    own = docs.select(*names, F.coalesce(_remainder(id_col) == 2, F.lit(False)).alias("held_out"))
+    names = [c for c in docs.columns if c.lower() not in new.fieldNames()]
+    # By number while Arrow carries them: it takes no names with dots.
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)], F.coalesce(_remainder(id_col) == 2, F.lit(False)).alias("held_out"))
     told = docs.sparkSession.sparkContext.broadcast(model)
     at = names.index(text_col)
 
@@ -220,7 +229,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             new_columns = [pa.array(language, pa.string()), pa.array(np.concatenate([np.zeros(0), *score])), pa.array(np.concatenate([np.zeros(0, bool), *rejected]))]
             yield pa.RecordBatch.from_arrays([*b.columns, *new_columns], names=[*b.schema.names, "lang_pred", "score", "rejected"])
 
-    return own.mapInArrow(run, T.StructType([*own.schema.fields, *new.fields[1:]]))
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, *new.fields[1:]])).toDF(*names, *new.fieldNames())
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

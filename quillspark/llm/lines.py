@@ -268,7 +268,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = F.when(F.col(lost).isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, k: ~F.array_contains(F.col(lost), k)), "\n"))
     n_lines = F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0)), F.lit(0))
     counted = {"n_lines": n_lines.cast("long"), "n_dropped": F.coalesce(F.size(lost), F.lit(0)).cast("long")}
-    return held.select(*[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in counted], *[v.alias(k) for k, v in counted.items()])
+    return held.select(*[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c.lower() not in counted], *[v.alias(k) for k, v in counted.items()])
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

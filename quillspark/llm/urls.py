@@ -60,7 +60,7 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", day_col: str = "fetched") -> DataFrame:
     """``captures`` with :data:`NEW`: verdict ``allow``, ``block`` or ``none``, what decided it, and the active entries' number."""
-    rows = captures.select(*[F.col(f"`{c}`") for c in captures.columns if c not in NEW])
+    rows = captures.select(*[F.col(f"`{c}`") for c in captures.columns if c.lower() not in NEW])
     u, d, best, active = free([*rows.columns, *NEW], "u", "d", "best", "active")
     seen = rows.select(F.col(url_col).cast("string").alias("_u"), F.col(day_col).cast("date").alias("_d")).where("_u is not null and _d is not null").distinct()
     deepest = entries.where("key like 'p:%'").agg(F.max(F.size(F.filter(F.split(F.substr("key", F.lit(3)), "/"), lambda x: x != "")) - 1)).first()[0] or 0

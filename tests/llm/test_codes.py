@@ -3,7 +3,6 @@
 import hashlib
 
 import numpy as np
-import oracle
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +92,3 @@ def test_awkward_lengths(spark):
     with pytest.raises(Exception, match="expected"):
         codes.compress(spark.createDataFrame([(1, [1.0, 2.0], 0), (2, [1.0, 2.0, 3.0, 4.0], 0)], SCHEMA), parts=2)[0].collect()
 
-
-def test_query_equals_its_sql(spark):
-    assert oracle.compare(spark, oracle.connect(), "op11", codes.op11_codes, codes.ORACLE_SQL) == ""

@@ -4,6 +4,7 @@ import io
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -248,10 +249,42 @@ def test_language_id(spark):
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 and got[i]["rejected"] for i in (1, 2, 3)) and not got[None]["held_out"] and got[4]["rejected"]
 
 
-def test_language_id_does_not_hang_on_batches():
-    model = langid.train(["the cat and the dog " * 5, "der hund und die katze " * 5] * 10, ["en", "de"] * 10, steps=50)
-    texts = ["the dog", "die katze", words(500, 1), "x"]
-    assert np.allclose(model.predict(texts)[1], [model.predict([t])[1][0] for t in texts], atol=1e-3)
+def test_language_id_does_not_hang_on_neighbours(spark):
+    """Scores of all texts of the table and of short ones, beside others in any order, are those that each has alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs)
+    short = "si no a ok de la le chat der und el x y non oui ja nein yes the it is es ist est para por mit avec with sin sans ohne".split()
+    texts = [r["text"] or "" for r in docs.select("text").collect()] + short + ["", "12", "de la", "le chat"]
+    alone = [model.predict([t]) for t in texts]
+    for seed in (1, 2):
+        order = list(range(len(texts)))
+        random.Random(seed).shuffle(order)
+        lang, score, rejected = model.predict([texts[k] for k in order])
+        assert lang == [alone[k][0][0] for k in order] and rejected.tolist() == [alone[k][2][0] for k in order]
+        assert np.allclose(score, [alone[k][1][0] for k in order], rtol=0, atol=1e-12)
+
+
+def test_own_columns_may_differ_in_case(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "the line\nand more", "a"), (2, "el gato", "b")], DOCS).withColumns({"N_Lines": F.lit(1), "Held_Out": F.lit(2), "a.b": F.lit(3), "Verdict": F.lit(4)})
+    lines.dedup_lines(docs).write.parquet(f"{tmp_path}/lines")
+    langid.identify(docs, langid.train(["the cat " * 9, "el gato " * 9] * 5, ["en", "es"] * 5, steps=5)).write.parquet(f"{tmp_path}/lang")
+    captures = docs.select("*", F.lit("http://a.org/x").alias("url"), F.lit("2024-01-05").alias("fetched"))
+    entries = spark.createDataFrame([("l", False, "d:a.org", "add", "2024-01-01")], "list string, allow boolean, key string, action string, day string").withColumn("day", F.col("day").cast("date"))
+    urls.filter_urls(captures, entries).write.parquet(f"{tmp_path}/urls")
+    got = spark.read.parquet(f"{tmp_path}/urls")
+    assert got.count() == 2 and "a.b" in got.columns and {r["verdict"] for r in got.select("verdict").collect()} == {"block"}
+
+
+def test_mail_addresses_in_linear_time():
+    old = re.compile(r"[\w.+-]+@[\w-]+\.[\w.-]+")
+    rng = random.Random(8)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab.+-@@ _") for _ in range(rng.randrange(40)))
+        assert [m.span() for m in counts.addresses(text)] == [m.span() for m in old.finditer(text)], text
+    began = time.perf_counter()
+    for text in ("x" * 4_000_000 + "@", "@" + "x" * 4_000_000, "x@" * 1_000_000, "a@b" * 1_000_000, "a@b.c+" * 500_000):
+        list(counts.addresses(text))
+    assert time.perf_counter() - began < 10
 
 
 def test_pieces_equal_the_library(spark):

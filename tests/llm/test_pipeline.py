@@ -37,34 +37,42 @@ def frame(spark, rows):
 
 
 def plain_logits(model, text):
-    """Mean of the n-grams' contributions, one n-gram at a time."""
+    """Mean of the n-grams' contributions, one n-gram at a time: from the space before the text to its last character."""
     points = [ord(c) if c.isalpha() else 32 for c in f" {text.lower()}   "]
     total, size = np.zeros(len(model.languages)), len(model.table) // len(model.sizes)
     for k, n in enumerate(model.sizes):
-        for at in range(len(points)):
+        for at in range(len(points) - 3):
             h = 0
             for j in range(n):
-                if at + j < len(points):
-                    h = (h * 0x01000193 + points[at + j] * 0x9E3779B1) & 0xFFFFFFFF
+                h = (h * 0x01000193 + points[at + j] * 0x9E3779B1) & 0xFFFFFFFF
             h ^= h >> 15
             h = h * 0x85EBCA6B & 0xFFFFFFFF
             total += model.table[(h >> 13) % size + k * size]
-    return total / (len(points) * len(model.sizes)) + model.bias
+    return total / ((len(points) - 3) * len(model.sizes)) + model.bias
 
 
 def test_language_stage(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").orderBy("doc_id").limit(250).unionByName(frame(spark, [(9001, None), (9002, "12"), (9003, "это другой язык и буквы")]).withColumn("lang", F.lit("en")).select(*spark.read.parquet(f"{FOLDER}/documents.parquet").columns))
     model = langid.fit(docs)
     rows = docs.collect()
-    # n-grams that cross the end of a text meet the next one's beginning, so one text at a time is the plain form.
-    for r in rows[:25]:
-        if r["text"]:
-            assert np.allclose(model.logits([r["text"]])[0][0], plain_logits(model, r["text"]), atol=1e-6)
+    together = model.logits([r["text"] or "" for r in rows[:25]])[0]
+    for r, logits in zip(rows[:25], together, strict=True):
+        assert np.allclose(logits, plain_logits(model, r["text"] or ""), atol=1e-6)
     want = sorted(r["doc_id"] for r in rows if not model.predict([r["text"] or ""])[2][0])
     got = corpus_pipeline.language_id(spark, docs, FOLDER)
     assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == want and not {9001, 9002, 9003} & set(want)
 
 
+@pytest.mark.parametrize("stage", ["language_id", "line_dedup", "near_duplicates"])
+def test_stages_keep_columns_of_any_name(spark, stage):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id < 40").withColumns({c: F.lit(f"own {c}") for c in ("Score", "a.b", "N_Lines", "Rejected", "component_id")})
+    got = getattr(corpus_pipeline, stage)(spark, docs, FOLDER)
+    assert got.columns[:5] == docs.columns[:5] and {"a.b", "component_id"} <= set(got.columns)
+    got.write.mode("overwrite").format("noop").save()
+    if stage != "line_dedup":
+        assert got.columns == docs.columns and {r["Score"] for r in got.collect()} == {"own Score"}
+
+
 def test_line_and_duplicate_and_packing_stages(spark):
     rows = corpus(spark)
     docs = frame(spark, rows)

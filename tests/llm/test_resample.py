@@ -7,7 +7,6 @@ import re
 import zlib
 
 import numpy as np
-import oracle
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +88,3 @@ def test_kth_key_finds_any_key(spark):
         assert tuple(resample.kth_key(df, ["a", "b", "c"], k)) == sorted(rows)[k - 1]
     df.unpersist()
 
-
-def test_query_equals_its_sql(spark):
-    assert oracle.compare(spark, oracle.connect(), "op12", resample.op12_resampling, resample.ORACLE_SQL) == ""
