@@ -19,21 +19,25 @@ from quillspark.llm.packing import pack
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach, with that language; rejected ones go."""
-    found = identify(docs, fit(docs))
-    return found.where(~F.col("rejected")).select(*[F.coalesce("lang", "lang_pred").alias(c) if c == "lang" else c for c in docs.columns])
+    columns = docs.columns
+    # Columns go by number meanwhile, so that none is taken for the operator's own.
+    plain = docs.toDF(*[f"c{k}" for k in range(len(columns))])
+    found = identify(plain, fit(docs), id_col=f"c{columns.index('doc_id')}", text_col=f"c{columns.index('text')}")
+    kept = found.where(~F.col("rejected"))
+    return kept.select(*[(F.coalesce(f"c{k}", "lang_pred") if c == "lang" else F.col(f"c{k}")).alias(c) for k, c in enumerate(columns)])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand earlier in the corpus; those of which no line is left go."""
     found = dedup_lines(docs).where(F.col("n_dropped") < F.greatest(F.col("n_lines"), F.lit(1)))
-    return found.select(*[F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns])
+    return found.select(*[F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that shingle similarity links, the one with the smallest id."""
     found = jaccard_components(docs)
     gone = stored(found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "near-gone")
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
