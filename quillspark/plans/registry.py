@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 #: Modules that register queries.
-MODULES = ("logs_and_checks", "metrics", "answers", "contrasts", "texts", "designs", "additions")
+MODULES = ("logs_and_checks", "metrics", "answers", "contrasts", "texts", "designs", "additions", "fits")
 
 _queries: dict[str, Callable] = {}
 _sql: dict[str, str] = {}
