@@ -1,11 +1,10 @@
-"""Statistical operators: expressions and windows where SQL can say it, seeded numpy kernels for resampling."""
+"""Statistical operators: expressions and windows where SQL can say it."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,90 +143,3 @@ def exact_test(df: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:
         return pd.DataFrame([fisher_exact_greater(*map(int, x)) for x in zip(a, b, c, d, strict=True)], columns=["odds_ratio", "p_value"])
 
     return df.withColumn("_t", run(a, b, c, d)).select("*", "_t.*").drop("_t")
-
-
-# Resampling: a group's equal values are counted first. Drawing each distinct value's share of all rows at once is
-# the same as drawing row by row, so a kernel holds distinct values and counts, and the draws cover every row.
-
-#: Cells of draws and values that a kernel holds at a time.
-CELLS = 1 << 20
-
-
-def _seeded(seed: int, key: tuple) -> np.random.Generator:
-    import zlib
-
-    return np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
-
-
-def resampled(df: DataFrame, groups: Sequence[str], cluster: Sequence[str], difference: Column, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, np.random.Generator], dict], schema: str, seed: int = 42) -> DataFrame:
-    """A kernel on all finite values of each group, seeded by the group, so results don't hang on partitioning.
-
-    What is drawn is a row, or with ``cluster`` a whole cluster. A kernel gets units by their sum, number of rows and
-    number of such units. n is the number of rows; with ``cluster``, n_clusters that of clusters.
-    """
-    rows = df.select(*groups, *cluster, difference.cast("double").alias("_s")).where(F.abs("_s") < math.inf)
-    if cluster:
-        units, order, sizes = rows.groupBy(*groups, *cluster).agg(F.sum("_s").alias("_s"), F.count("*").alias("_n"), F.lit(1).cast("long").alias("_k")), list(cluster), "n long, n_clusters long"
-    else:
-        units, order, sizes = rows.groupBy(*groups, "_s").agg(F.lit(1).cast("long").alias("_n"), F.count("*").alias("_k")), ["_s"], "n long"
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in units.select(*groups).schema)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        s, n, k = pdf["_s"].to_numpy(float), pdf["_n"].to_numpy(np.int64), pdf["_k"].to_numpy(np.int64)
-        counted = {"n": int(n @ k)} | ({"n_clusters": int(k.sum())} if cluster else {})
-        return pd.DataFrame([dict(zip(groups, key, strict=True)) | counted | kernel(s, n, k, _seeded(seed, key))])
-
-    return units.groupBy(*groups).applyInPandas(run, f"{kinds}, {sizes}, {schema}")
-
-
-def _drawn(draws: int, width: int, draw: Callable[[int], np.ndarray]) -> np.ndarray:
-    """All draws, as many at a time as CELLS allows."""
-    step = max(1, CELLS // width)
-    return np.concatenate([draw(min(step, draws - lo)) for lo in range(0, draws, step)])
-
-
-def bayes_bootstrap(draws: int = 4000, rope: float = 0.1) -> tuple[Callable, str]:
-    """Posterior of the mean under Dirichlet weights: mean, 95 % interval, shares above 0 and within the region of equivalence.
-
-    The weights of k equal values sum to a gamma variable of shape k.
-    """
-
-    def kernel(s: np.ndarray, n: np.ndarray, k: np.ndarray, rng: np.random.Generator) -> dict:
-        def draw(size: int) -> np.ndarray:
-            w = rng.standard_gamma(k, (size, len(k)))
-            return (w @ s) / (w @ n)
-
-        m = _drawn(draws, len(k), draw)
-        lo, hi = np.quantile(m, [0.025, 0.975])
-        return {"mean": float(m.mean()), "ci_low": float(lo), "ci_high": float(hi), "p_positive": float((m > 0).mean()), "p_rope": float((abs(m) <= rope).mean())}
-
-    return kernel, "mean double, ci_low double, ci_high double, p_positive double, p_rope double"
-
-
-def sign_flip(draws: int = 4000) -> tuple[Callable, str]:
-    """Two-sided p of the mean under random signs, with one added to both counts.
-
-    Of k equal values, a binomial number keep their sign.
-    """
-
-    def kernel(s: np.ndarray, n: np.ndarray, k: np.ndarray, rng: np.random.Generator) -> dict:
-        mean = float(s @ k / (n @ k))
-        flipped = _drawn(draws, len(k), lambda size: abs((2 * rng.binomial(k, 0.5, (size, len(k))) - k) @ s) / (n @ k))
-        return {"mean": mean, "p_value": float((1 + (flipped >= abs(mean) - 1e-12).sum()) / (draws + 1))}
-
-    return kernel, "mean double, p_value double"
-
-
-def bootstrap_mean(draws: int = 4000) -> tuple[Callable, str]:
-    """Percentile interval of the mean over units drawn with replacement; a drawn cluster brings all its rows."""
-
-    def kernel(s: np.ndarray, n: np.ndarray, k: np.ndarray, rng: np.random.Generator) -> dict:
-        def draw(size: int) -> np.ndarray:
-            times = rng.multinomial(k.sum(), k / k.sum(), size=size)
-            return (times @ s) / (times @ n)
-
-        lo, hi = np.quantile(_drawn(draws, len(k), draw), [0.025, 0.975])
-        return {"mean": float(s @ k / (n @ k)), "ci_low": float(lo), "ci_high": float(hi)}
-
-    return kernel, "mean double, ci_low double, ci_high double"

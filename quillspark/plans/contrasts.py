@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions.labels import outcome
-from quillspark.operators import pairs, sensitivity, stats
+from quillspark.operators import pairs, resampling, sensitivity, stats
 from quillspark.plans.bindings import FACTORS, ORDER_SIDES, PREDICTIONS, SCORES, STANCES, order_sides, predictions, rounded, scores, sql_rounded, stances, table
 from quillspark.plans.registry import query
 
@@ -245,29 +245,39 @@ def st11(spark, d):
     return rounded(stats.cluster_contrast(_pairs(spark, d), ["o_orderpriority"], ["o_custkey"], F.col("price_right") - F.col("price_left")), 4)
 
 
-def _resampled(spark, d, kernel, cluster=()):
-    rows = _pairs(spark, d).withColumn("cluster", F.col("o_custkey") % 97)
-    return rounded(stats.resampled(rows, ["o_orderpriority"], cluster, F.col("large_right") - F.col("large_left"), *kernel))
+def _differences(spark, d):
+    """Left and right outcome of matched pairs, by priority; customers' clusters."""
+    return _pairs(spark, d).withColumn("cluster", F.col("o_custkey") % 97), F.col("large_right") - F.col("large_left")
 
 
 @query("st16_bayes_bootstrap")
 def st16(spark, d):
-    return _resampled(spark, d, stats.bayes_bootstrap())
+    rows, v = _differences(spark, d)
+    return rounded(resampling.bayes_bootstrap(rows, ["o_orderpriority"], v))
 
 
 @query("st17_sign_flip")
 def st17(spark, d):
-    return _resampled(spark, d, stats.sign_flip())
+    rows, v = _differences(spark, d)
+    return rounded(resampling.sign_flip(rows, ["o_orderpriority"], v))
 
 
 @query("st20_cluster_bootstrap")
 def st20(spark, d):
-    return _resampled(spark, d, stats.bootstrap_mean(), ["cluster"])
+    rows, v = _differences(spark, d)
+    return rounded(resampling.bootstrap_mean(rows, ["o_orderpriority"], v, ["cluster"]))
 
 
 @query("st21_bootstrap_of_scores")
 def st21(spark, d):
-    return rounded(stats.resampled(predictions(spark, d), ["model"], [], F.col("p"), *stats.bootstrap_mean()))
+    return rounded(resampling.bootstrap_mean(predictions(spark, d), ["model"], F.col("p")))
+
+
+@query("st21_bootstrap_of_prices")
+def st21_prices(spark, d):
+    """A continuous column with a group for each line status: all its values are different, and no task has a group whole."""
+    rows = table(spark, d, "lineitem").select("l_linestatus", F.col("l_extendedprice").alias("v"))
+    return rounded(resampling.bootstrap_mean(rows, ["l_linestatus"], F.col("v"), draws=400), 4)
 
 
 @query("nq18_lowest_rate_per_model", f"WITH {PREDICTIONS}, m AS (SELECT model, target, avg((p >= 0.5)::INT) AS rate FROM pred GROUP BY ALL), w AS (SELECT model, target, row_number() OVER (PARTITION BY model ORDER BY rate, target) AS r FROM m) SELECT target, count(*) AS n FROM w WHERE r = 1 GROUP BY 1")
