@@ -9,15 +9,14 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, Imputer, NGram, OneHotEncoder, RegexTokenizer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.operators.stats import errors
+from quillspark.operators.numbering import group_folds
+from quillspark.sources.scratch import stored
 
 
 def vectors(df: DataFrame, array: str, out: str = "features") -> DataFrame:
@@ -36,13 +35,6 @@ def principal_components(df: DataFrame, array: str, k: int, out: str = "pca") ->
     return model.transform(centre.transform(rows)).withColumn(out, flipped).drop("_v", "_c", "_s")
 
 
-def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
-    """(group, fold): groups by size, largest first, dealt round robin; ties by name. One small row per group."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.orderBy(F.desc("n"), group)) - 1
-    return sizes.select(group, F.pmod(place, F.lit(k)).cast("int").alias("fold"))
-
-
 def grouped_classification(df: DataFrame, array: str, label: str, group: str, folds: int = 10, components: int | None = None) -> DataFrame:
     """Accuracy, balanced accuracy and macro F1 of a class-balanced multinomial logistic regression, groups never split.
 
@@ -51,7 +43,8 @@ def grouped_classification(df: DataFrame, array: str, label: str, group: str, fo
     k = min(folds, df.select(group).distinct().count())
     rows = vectors(principal_components(df, array, components, "_x") if components else df, "_x" if components else array)
     rows = rows.join(group_folds(df, group, k), group)
-    rows = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(rows).transform(rows).select("features", "_y", "fold").cache()
+    rows = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(rows).transform(rows).select("features", "_y", "fold")
+    rows = stored(rows, "classified")
     parts = []
     for f in range(k):
         train, test = rows.where(F.col("fold") != f), rows.where(F.col("fold") == f)
@@ -77,47 +70,6 @@ def classification_report(df: DataFrame, truth: Column, predicted: Column, by: s
     return per.groupBy(by).agg(F.sum("gold").alias("n"), (F.sum("tp") / F.sum("gold")).alias("accuracy"), F.avg(F.try_divide(F.col("tp").cast("double"), F.col("gold").cast("double"))).alias("balanced_accuracy"), F.avg(f1).alias("macro_f1"))
 
 
-def grouped_ridge(df: DataFrame, target: str, group: str, text: str | None, categories: Sequence[str], numbers: Sequence[str], folds: int = 10, alpha: float = 10.0, terms: int = 1 << 12) -> DataFrame:
-    """Held-out predictions of a ridge on TF-IDF (1-2 grams, sublinear), one-hot and imputed, scaled numeric columns."""
-    k = min(folds, df.select(group).distinct().count())
-    rows = df.join(group_folds(df, group, k), group).withColumn("_t", F.col(target).cast("double"))
-    parts = []
-    for f in range(k):
-        train, test = rows.where(F.col("fold") != f), rows.where(F.col("fold") == f)
-        stages, inputs = [], []
-        if text:
-            stages += [RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"[^\p{L}\p{N}']+"), NGram(n=2, inputCol="_w", outputCol="_b"), CountVectorizer(inputCol="_w", outputCol="_cw", minDF=2, vocabSize=terms), CountVectorizer(inputCol="_b", outputCol="_cb", minDF=2, vocabSize=terms), IDF(inputCol="_cw", outputCol="_iw"), IDF(inputCol="_cb", outputCol="_ib")]
-            inputs += ["_iw", "_ib"]
-        if categories:
-            ids = [f"_i_{c}" for c in categories]
-            stages += [StringIndexer(inputCols=list(categories), outputCols=ids, handleInvalid="keep"), OneHotEncoder(inputCols=ids, outputCols=[f"_o_{c}" for c in categories], dropLast=False)]
-            inputs += [f"_o_{c}" for c in categories]
-        if numbers:
-            stages += [Imputer(strategy="median", inputCols=list(numbers), outputCols=[f"_m_{c}" for c in numbers]), VectorAssembler(inputCols=[f"_m_{c}" for c in numbers], outputCol="_n"), StandardScaler(inputCol="_n", outputCol="_ns", withMean=True)]
-            inputs += ["_ns"]
-        n = train.count()
-        stages += [VectorAssembler(inputCols=inputs, outputCol="_x"), LinearRegression(featuresCol="_x", labelCol="_t", regParam=alpha / max(n, 1), elasticNetParam=0.0, standardization=False, predictionCol="predicted")]
-        parts.append(Pipeline(stages=stages).fit(train).transform(test).select(group, "fold", F.col("_t").alias("truth"), "predicted"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def ablation(df: DataFrame, target: str, group: str, feature_sets: dict[str, dict], folds: int = 5) -> DataFrame:
-    """Held-out errors of a ridge for each named set of features."""
-    out = None
-    for name, columns in feature_sets.items():
-        part = errors(grouped_ridge(df, target, group, columns.get("text"), columns.get("categories", []), columns.get("numbers", []), folds), [], "truth", "predicted").withColumn("features", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def clusters(df: DataFrame, array: str, k: int, seed: int = 42) -> DataFrame:
-    """k-means clusters: Spark's stand-in for density clustering of a reduced space."""
-    return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(rows := vectors(df, array)).transform(rows).drop("features")
-
-
 def contingency(df: DataFrame, a: str, b: str, noise: int | None = None) -> DataFrame:
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     return (rows if noise is None else rows.where(F.col(a) != noise)).groupBy(a, b).agg(F.count("*").alias("n"))

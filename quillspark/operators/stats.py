@@ -116,7 +116,8 @@ def cohen_dz(df: DataFrame, groups: Sequence[str], difference: Column) -> DataFr
 
 
 def errors(df: DataFrame, groups: Sequence[str], truth: str, predicted: str) -> DataFrame:
-    """n, RMSE, MAE and R squared: one pass of partial aggregates."""
+    """n, RMSE, MAE and R squared of the rows that have both sides: one pass of partial aggregates."""
+    df = df.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull())
     e2 = F.pow(F.col(truth) - F.col(predicted), F.lit(2.0))
     whole = F.var_pop(truth) * F.count(truth)
     return df.groupBy(*groups).agg(F.count("*").alias("n"), F.sqrt(F.avg(e2)).alias("rmse"), F.avg(F.abs(F.col(truth) - F.col(predicted))).alias("mae"), (1 - F.try_divide(F.sum(e2), whole)).alias("r2"))

@@ -244,12 +244,6 @@ def m02(spark, d):
     return rounded(models.grouped_classification(e, "embedding", "label", "grp", 3, 20), 4)
 
 
-@query("m03_grouped_ridge")
-def m03(spark, d):
-    p = table(spark, d, "part").withColumns({"price": F.col("p_retailprice"), "size": F.col("p_size").cast("double")})
-    return rounded(models.ablation(p, "price", "p_brand", {"numbers": {"numbers": ["size"]}, "combined": {"text": "p_name", "categories": ["p_type"], "numbers": ["size"]}}, 3), 3)
-
-
 _MI = "WITH c AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n FROM orders GROUP BY ALL), p AS (SELECT *, sum(n) OVER () AS t, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb FROM c)"
 
 

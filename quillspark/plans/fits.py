@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import arrays
-from quillspark.operators import reconstruct, stats
+from quillspark.operators import numbering, reconstruct, ridge, stats
 from quillspark.plans.bindings import ANSWERS, SCORER, answers, rounded, scorer, sql_rounded, table
 from quillspark.plans.registry import query
 
@@ -38,3 +38,29 @@ def st26_errors(spark, d):
     told = F.array(*[F.struct(F.lit(a).alias("target"), F.col(a).alias("truth"), found[a][1].predicted(F.col("choices")).alias("predicted")) for a in _AXES])
     held = rows.where("vec_id % 7 = 0").select(F.inline(told))
     return rounded(stats.errors(held, ["target"], "truth", "predicted"))
+
+
+def _parts(spark, d):
+    p = table(spark, d, "part")
+    sets = {"numbers": {"numbers": ["size"]}, "metadata": {"categories": ["p_type"]}, "text": {"text": "p_name"}, "combined": {"text": "p_name", "categories": ["p_type"], "numbers": ["size"]}}
+    return p.withColumns({"price": F.col("p_retailprice"), "size": F.col("p_size").cast("double")}), sets
+
+
+@query("m03_grouped_ridge")
+def m03(spark, d):
+    """Held-out errors of parts' prices for four sets of features, brands never split."""
+    rows, sets = _parts(spark, d)
+    return rounded(ridge.ablation(rows, "price", "p_brand", sets), 4)
+
+
+_FOLD_SUMS = """WITH RECURSIVE s AS (SELECT p_brand, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS k FROM part GROUP BY p_brand),
+deal AS (SELECT 0::BIGINT AS k, list_transform(range(10), lambda f: 0::BIGINT) AS loads UNION ALL
+  SELECT deal.k + 1, list_transform(loads, lambda x, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN x + n ELSE x END) FROM deal JOIN s ON s.k = deal.k + 1)"""
+
+
+@query("m03_fold_sizes", f"{_FOLD_SUMS} SELECT x AS n, count(*) AS folds FROM (SELECT unnest(loads) AS x FROM deal WHERE k = (SELECT max(k) FROM s)) WHERE x > 0 GROUP BY x")
+def m03_folds(spark, d):
+    """How many rows the folds have: brands go, largest first, to the fold with the fewest."""
+    p = table(spark, d, "part")
+    sizes = p.join(numbering.group_folds(p, "p_brand", 10), "p_brand").groupBy("fold").agg(F.count("*").alias("n"))
+    return sizes.groupBy("n").agg(F.count("*").alias("folds"))
