@@ -1,70 +1,77 @@
-"""An explicit stance in a text's last lines, found conservatively, as column expressions.
+"""The stance that a text's last lines state, found conservatively, as column expressions.
 
-Each option has forms by which a text may name it. The place at which an option is named last is the length of what a
-greedy prefix takes in before that form; the option with the largest place is the stance, if it is the only one there.
+The lines are read as words and marks. An option is named where its label's words stand, unless they end a longer
+option's label there, or where its key stands in a place that only answers have: after a leading word, at a line's
+beginning as an item's number, or before a verdict. What is named last counts, if it is one option.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import last_lines
 
-#: Lines at the end that are searched.
+#: Lines at the end that are read.
 TAIL = 5
-#: Words that lead to an option's key, and what may follow a key.
+#: Words that lead to an option's key, marks between both, marks after a key, verdicts.
 LEADS = ("stance", "answer", "position", "choice", "option")
+BETWEEN = (":", "=", "-")
+AFTER = (".", ")")
 VERDICTS = ("agree", "disagree", "strongly agree", "strongly disagree")
+_LINE = "\n"
 
 
-def label_form(label: str, labels: Sequence[str]) -> str:
-    """A label as words of its own, not as the end of a longer label."""
-    before = "(?<![a-z])"
-    for longer in labels:
-        if longer.lower() != label.lower() and longer.lower().endswith(" " + label.lower()):
-            before += rf"(?<!\Q{longer[: -len(label)].strip()}\E\s)"
-    return rf"{before}\Q{label}\E(?![a-z])"
+def tokens(x: Column) -> Column:
+    """Lower-cased words, single marks, and line ends; stars that open a word are dropped."""
+    found = F.regexp_extract_all(F.lower(x), F.lit(r"\n|(?U:\**\w+)|\*+|(?U:[^\w\s*])"), F.lit(0))
+    return F.transform(found, lambda t: F.when(F.length(F.translate(t, "*", "")) > 0, F.translate(t, "*", "")).otherwise(t))
+
+
+def _stand(words: Column, at: Column, phrase: str) -> Column:
+    """Whether a phrase's words stand from a place on."""
+    same = [F.coalesce(F.get(words, at + k) == w, F.lit(False)) for k, w in enumerate(phrase.lower().split())]
+    return reduce(lambda a, b: a & b, same)
 
 
-def key_forms(key: str) -> list[str]:
-    """A key after a leading word, alone or with a mark at the start of a line, or before a verdict."""
-    quoted = rf"\Q{key}\E"
-    verdicts = "|".join(v.replace(" ", r"\s+") for v in VERDICTS)
-    return [rf"(?:{'|'.join(LEADS)})\s*[-:=]?\s*\**{quoted}\b", rf"(?m:^)\s*\**{quoted}(?:[).]|\s*(?m:$))", rf"\b{quoted}\s*[).]\s*(?:{verdicts})\b"]
+def _any(words: Column, at: Column, of: Sequence[str]) -> Column:
+    return F.coalesce(F.get(words, at).isin(*of), F.lit(False))
 
 
-def last_place(tail: Column, form: str) -> Column:
-    """The character at which a form begins last; null where it isn't found."""
-    pattern = rf"(?is)^(.*)(?:{form})"
-    return F.when(tail.rlike(pattern), F.char_length(F.regexp_extract(tail, pattern, 1)))
+def named_as_label(words: Column, at: Column, label: str, labels: Sequence[str]) -> Column:
+    out = _stand(words, at, label)
+    for longer in labels:
+        head = longer.lower().split()[: -len(label.split())]
+        # A line may end between the words of the longer label.
+        if head and longer.lower().split()[len(head) :] == label.lower().split():
+            out &= ~(_stand(words, at - len(head), " ".join(head)) | ((F.get(words, at - 1) == _LINE) & _stand(words, at - 1 - len(head), " ".join(head))))
+    return F.coalesce(out, F.lit(False))
+
+
+def key_place(words: Column, at: Column, key: str) -> Column:
+    """Where the naming of a key at ``at`` begins: at the key, or at the word that leads to it."""
+    begins = (at == 0) | _any(words, at - 1, [_LINE])
+    ends = F.get(words, at + 1).isNull() | _any(words, at + 1, [*AFTER, _LINE])
+    judged = _any(words, at + 1, AFTER) & reduce(lambda a, b: a | b, [_stand(words, at + 2, v) for v in VERDICTS])
+    led = F.when(_any(words, at - 1, LEADS), at - 1).when(_any(words, at - 1, BETWEEN) & _any(words, at - 2, LEADS), at - 2)
+    return F.when(F.get(words, at) == key.lower(), F.when((begins & ends) | judged, at).otherwise(led))
 
 
 def explicit_stance(x: Column, keys: Sequence[str], labels: Sequence[str]) -> Column:
-    """Index of the option that a text names last; null without one, or if several are named at that place."""
-    tail = F.array_join(last_lines(F.regexp_replace(x, r"\r\n?", "\n"), TAIL), "\n")
+    """Index of the option that a text names last; null without one, or if several are named at that place. Keys are single words."""
+    tail = F.array_join(last_lines(F.regexp_replace(x, r"\r\n?", "\n"), TAIL), _LINE)
+
+    def last_place(words: Column, key: str, label: str) -> Column:
+        return F.array_max(F.transform(words, lambda w, i: F.greatest(F.when(named_as_label(words, i, label, labels), i), key_place(words, i, key))))
 
-    def decided(t: Column) -> Column:
-        places = [F.array_max(F.array(*[last_place(t, f) for f in [label_form(label, labels), *key_forms(key)]])) for key, label in zip(keys, labels, strict=True)]
-        return F.transform(F.array(F.array(*places)), winner)[0]
+    def decided(words: Column) -> Column:
+        return F.transform(F.array(F.array(*[last_place(words, k, v) for k, v in zip(keys, labels, strict=True)])), winner)[0]
 
     def winner(places: Column) -> Column:
         at = F.filter(F.sequence(F.lit(0), F.lit(len(labels) - 1)), lambda k: F.get(places, k) == F.array_max(places))
         return F.when(F.size(at) == 1, at[0])
 
-    return F.transform(F.array(tail), decided)[0]
-
-
-def stance_of(text: str | None, keys: Sequence[str], labels: Sequence[str]) -> int | None:
-    """The same for one text in plain Python, by walking back over places: for tests."""
-    lines = [s for x in re.sub("\r\n?", "\n", text or "").split("\n") if (s := x.strip(" "))]
-    tail = "\n".join(lines[-TAIL:])
-    forms = [[label_form(label, labels), *key_forms(key)] for key, label in zip(keys, labels, strict=True)]
-    plain = [[re.compile(re.sub(r"\\Q(.*?)\\E", lambda m: re.escape(m[1]), f), re.IGNORECASE) for f in own] for own in forms]
-    for at in range(len(tail) - 1, -1, -1):
-        if named := [k for k, own in enumerate(plain) if any(p.match(tail, at) for p in own)]:
-            return named[0] if len(named) == 1 else None
-    return None
+    return F.transform(F.array(tokens(tail)), decided)[0]

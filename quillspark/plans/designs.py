@@ -257,10 +257,3 @@ def m05(spark, d):
 def m05_adjusted(spark, d):
     c = models.contingency(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority")
     return rounded(models.adjusted_information(c, "o_orderstatus", "o_orderpriority"))
-
-
-@query("m04_clusters")
-def m04(spark, d):
-    c = models.clusters(table(spark, d, "embeddings"), "embedding", 10)
-    return rounded(models.mutual_information(models.contingency(c, "cluster", "label"), "cluster", "label"), 4)
-

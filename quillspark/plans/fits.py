@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import arrays
-from quillspark.operators import numbering, reconstruct, ridge, stats
+from quillspark.operators import density, models, numbering, reconstruct, ridge, stats
 from quillspark.plans.bindings import ANSWERS, SCORER, answers, rounded, scorer, sql_rounded, table
 from quillspark.plans.registry import query
 
@@ -64,3 +64,22 @@ def m03_folds(spark, d):
     p = table(spark, d, "part")
     sizes = p.join(numbering.group_folds(p, "p_brand", 10), "p_brand").groupBy("fold").agg(F.count("*").alias("n"))
     return sizes.groupBy("n").agg(F.count("*").alias("folds"))
+
+
+def _clustered(spark, d):
+    e = models.principal_components(table(spark, d, "embeddings"), "embedding", 2).select("vec_id", "label", "pca")
+    found = density.density_clusters(e, "vec_id", "pca", 8, 4, 12, 6, bucket=0.25)
+    return e.join(found, F.col("vec_id") == F.col("id"))
+
+
+@query("m04_density_clusters")
+def m04(spark, d):
+    """Clusters of the embeddings' first components, by size; -1 is noise."""
+    return _clustered(spark, d).groupBy("cluster").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels"))
+
+
+@query("m05_clusters_and_labels")
+def m05_clusters(spark, d):
+    """How much the clusters tell of the labels, noise left out."""
+    c = models.contingency(_clustered(spark, d), "cluster", "label", density.NOISE)
+    return rounded(models.mutual_information(c, "cluster", "label"), 4)

@@ -60,7 +60,7 @@ def test_stances(spark):
     options = ["1", "2", "3", "4"], ["strongly disagree", "disagree", "agree", "strongly agree"]
     cases = {"I strongly disagree": 0, "I disagree.": 1, "agree\nno, strongly agree": 3, "Answer: 2": 1, "2. maybe": 1, "nothing": None, "": None, None: None, "disagree then agree": 2}
     cases |= {"agree. Strongly disagree": 0, "**3.** fine": 2, "**3. fine": 2, "Option 4": 3, "Choice = 11": None, "2) strongly agree": 3, "disagreeable": None, "1\n2\n3": 2, "a\nb\nagree\nc\nd\ne\nf\ng": None}
-    assert {k: stance.stance_of(k, *options) for k in cases} == cases
+    cases |= {"My stance is: 2": None, "Position: **4**": 3, "choice - 1": 0, "I strongly\nagree": None, "see 2. above": None, "so 3. agree": 2, "Answer: 1\nanswer: 2\r\n": 1, "1) agree or 2": 2, "ANSWER 3": 2, "strongly agree, option 1": 0}
     got = spark.createDataFrame([(k,) for k in cases], "x string").select("x", stance.explicit_stance(F.col("x"), *options).alias("v")).collect()
     assert {r["x"]: r["v"] for r in got} == cases
 
