@@ -229,6 +229,18 @@ def e05(spark, d):
     return spark.table(name)
 
 
+@query("e06_progress", "SELECT count(*) AS rows, 3 AS batches, count(*) AS rows_so_far FROM events")
+def e06(spark, d):
+    """What a listener recorded of a stream of three files: rows of its batches, and so far at the last."""
+    source, folder = _folder(spark, "stream"), _folder(spark, "progress")
+    e = table(spark, d, "events").select("event_id", "event_type")
+    for k in range(3):
+        e.where(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(source)
+    stream = logs.read_stream(spark, source, e.schema)
+    found = logs.watched(spark, lambda: stream.writeStream.format("noop").option("checkpointLocation", f"{folder}-log").trigger(availableNow=True).start(), folder, e.count())
+    return found.where("rows > 0").agg(F.sum("rows").alias("rows"), F.count("*").cast("int").alias("batches"), F.max("rows_so_far").alias("rows_so_far"))
+
+
 # Models.
 
 

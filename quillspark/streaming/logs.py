@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import threading
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from quillspark.operators.compaction import last_wins
 from quillspark.sources.tables import exists
@@ -30,27 +31,82 @@ def append_new(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[s
     drained(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def keep_latest(stream: DataFrame, folder: str, checkpoint: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Latest-wins compaction of a stream: each batch is merged with the last version and written as the next.
+def _version(spark: SparkSession, folder: str, epoch: int) -> dict[int, str]:
+    """The newest version up to ``epoch``: each bucket's folder (one small row a bucket)."""
+    while epoch >= 0 and not exists(spark, f"{folder}/versions/v{epoch}/_SUCCESS"):
+        epoch -= 1
+    return {r["bucket"]: r["path"] for r in spark.read.parquet(f"{folder}/versions/v{epoch}").collect()} if epoch >= 0 else {}
 
-    Versions are folders named by the batch, so a batch that runs again writes the same folder. The result is that
-    of the batch operator on the whole log.
+
+def upsert(batch: DataFrame, epoch: int, folder: str, keys: Sequence[str], order: Sequence[str], buckets: int = 64) -> list[int]:
+    """Merge a batch into the latest records by key; the buckets that it rewrote.
+
+    State is dealt by the keys' hash. A version lists a folder for each bucket; a batch reads and writes those that its
+    keys fall into, and its version keeps the others' folders. A batch that runs again starts from the version before
+    it, so it changes nothing.
     """
+    spark = batch.sparkSession
+    at = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    before = _version(spark, folder, epoch - 1)
+    rows = batch.withColumn("_bucket", at)
+    touched = sorted(r[0] for r in rows.select("_bucket").distinct().collect())
+    if held := [before[b] for b in touched if b in before]:
+        rows = rows.unionByName(spark.read.schema(batch.schema).parquet(*held).withColumn("_bucket", at))
+    last_wins(rows, keys, order).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{folder}/data/v{epoch}")
+    now = before | {b: f"{folder}/data/v{epoch}/_bucket={b}" for b in touched}
+    spark.createDataFrame(sorted(now.items()), "bucket int, path string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/versions/v{epoch}")
+    return touched
+
+
+def keep_latest(stream: DataFrame, folder: str, checkpoint: str, keys: Sequence[str], order: Sequence[str], buckets: int = 64) -> DataFrame:
+    """Latest-wins compaction of a stream, batch by batch (:func:`upsert`): the result of the batch operator on the whole log."""
     spark = stream.sparkSession
+    query = stream.writeStream.foreachBatch(lambda batch, epoch: upsert(batch, epoch, folder, keys, order, buckets) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    drained(query)
+    last = query.lastProgress["batchId"] if query.lastProgress else 1 << 16
+    paths = sorted(_version(spark, folder, last).values())
+    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        own = batch.sparkSession
-        rows = batch
-        if epoch and exists(own, f"{folder}/v{epoch - 1}/_SUCCESS"):
-            rows = own.read.parquet(f"{folder}/v{epoch - 1}").unionByName(batch)
-        last_wins(rows, keys, order).write.mode("overwrite").parquet(f"{folder}/v{epoch}")
 
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    drained(query)
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    while last >= 0 and not exists(spark, f"{folder}/v{last}/_SUCCESS"):
-        last -= 1
-    return spark.read.parquet(f"{folder}/v{last}")
+class ProgressLog(StreamingQueryListener):
+    """Records of running queries: rows of a batch and so far, rows a second, and the seconds left if their total is told."""
+
+    def __init__(self, total: int | None = None) -> None:
+        self.total, self.records, self.rows, self.ended = total, [], {}, threading.Event()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.rows[str(event.runId)] = 0
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        run = str(p.runId)
+        self.rows[run] = so_far = self.rows.get(run, 0) + p.numInputRows
+        rate = float(p.processedRowsPerSecond)
+        left = None if self.total is None or not rate > 0 else max(0, self.total - so_far) / rate
+        self.records.append((run, p.batchId, p.numInputRows, so_far, rate, left, p.timestamp))
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.ended.set()
+
+
+PROGRESS = "run string, batch long, rows long, rows_so_far long, rows_per_second double, seconds_left double, at string"
+
+
+def watched(spark: SparkSession, start: Callable[[], StreamingQuery], folder: str, total: int | None = None) -> DataFrame:
+    """Run the query that ``start`` begins to its end and append its progress to JSON lines in ``folder``: one record a batch."""
+    log = ProgressLog(total)
+    spark.streams.addListener(log)
+    try:
+        drained(start())
+        # Events come on a bus of their own, the end last.
+        log.ended.wait(60)
+    finally:
+        spark.streams.removeListener(log)
+    spark.createDataFrame(log.records, PROGRESS).coalesce(1).write.mode("append").json(folder)
+    return spark.read.schema(PROGRESS).json(folder)
 
 
 def attempts(log: DataFrame, keys: Sequence[str], error: str, most: int) -> DataFrame:
