@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import arrays, labels, special, stance, text
-from quillspark.operators import checks, compaction, design, models, pairs, phrases, sensitivity, stats
+from quillspark.operators import checks, compaction, design, models, pairs, phrases, resampling, sensitivity, stats
 from quillspark.plans import designs
 from quillspark.sources import tables
 
@@ -116,8 +116,7 @@ def test_additive_anova_by_hand(spark):
 
 def test_resampling_does_not_hang_on_partitions(spark):
     df = spark.createDataFrame([("g", k, float(k % 7)) for k in range(40)], "g string, c int, d double")
-    kernel = stats.bootstrap_mean(500)
-    a, b = (stats.resampled(x, ["g"], ["c"], F.col("d"), *kernel).first() for x in (df, df.repartition(7)))
+    a, b = (resampling.bootstrap_mean(x, ["g"], F.col("d"), ["c"], 500).first() for x in (df, df.repartition(7)))
     assert a == b and a["ci_low"] < a["mean"] < a["ci_high"]
 
 
