@@ -11,7 +11,7 @@ from quillspark.operators import design, models
 from quillspark.plans.bindings import rounded, sql_rounded, table
 from quillspark.plans.registry import query
 from quillspark.session import scratch
-from quillspark.sources import tables
+from quillspark.sources import tables, wide
 from quillspark.streaming import logs
 
 # The designs' levels, in the order by which sampled points pick them.
@@ -173,6 +173,28 @@ def s11(spark, d):
     return both.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
+_ITEMS = 1665
+
+
+@query("s12_wide_rows", f"SELECT i::INT AS item, count(*) AS n, round(sum(embedding[i % 64 + 1]::DOUBLE * (i + 1)), 4) + 0.0 AS total, count(DISTINCT label) AS labels, min('a,\"' || i || '\"') AS said FROM embeddings, range({_ITEMS}) t(i) GROUP BY i")
+def s12(spark, d):
+    """A CSV of 6,660 columns and the id, written in four files and read long."""
+    path = _folder(spark, "wide")
+    quoted = lambda i: F.concat(F.lit('"a,""'), i.cast("string"), F.lit('"""'))
+    e = table(spark, d, "embeddings")
+    item = lambda i: F.concat_ws(",", (F.get("embedding", i % 64).cast("double") * (i + 1)).cast("string"), F.coalesce(F.col("label").cast("string"), F.lit("")), quoted(i), F.lit(""))
+    line = F.concat_ws(",", F.col("vec_id").cast("string"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(_ITEMS - 1)), item), ","))
+    header = ",".join(["vec_id", *[f"q{i}_{s}" for i in range(_ITEMS) for s in ("value", "label", "said", "none")]])
+    for k in range(4):
+        rows = e.where(F.pmod("vec_id", F.lit(4)) == k).select(F.lit(1).alias("o"), line.alias("value"))
+        both = spark.createDataFrame([(0, header)], "o int, value string").unionByName(rows)
+        both.coalesce(1).sortWithinPartitions("o").select("value").write.mode("append").text(path)
+    rows, names = wide.wide_rows(spark, wide.expected_files(spark, path, "part-*", 4))
+    long = wide.unfolded(rows, names, {"vec_id": "long"}, r"q(\d+)_(\w+)", {"value": "double", "label": "int", "said": "string"})
+    out = long.groupBy("item").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.countDistinct("label").alias("labels"), F.min("said").alias("said"))
+    return rounded(out, 4)
+
+
 @query("s16_append_sink", "SELECT n_nationkey, n_name FROM nation")
 def s16(spark, d):
     path = _folder(spark, "appended")
