@@ -23,6 +23,18 @@ def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
+def unique_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The table's rows, partitioned by the keys, failing while they are read if a key repeats (nulls are equal).
+
+    Nothing runs before then, and a join on the keys that follows needs no shuffle of its own.
+    """
+    keys = list(keys)
+    rest = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns) if c not in keys]
+    rows = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct(F.lit(0).alias("_"), *rest)).alias("_row"))
+    told = F.raise_error(F.concat(F.lit("several rows of "), F.to_json(F.struct(*keys)))).cast("boolean")
+    return rows.where(F.when(F.col("_n") > 1, told).otherwise(True)).select(*[c if c in keys else F.col(f"_row.c{k}").alias(c) for k, c in enumerate(df.columns)])
+
+
 def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows and distinct keys, and whether they are as many."""
     per_key = df.groupBy(*keys).agg(F.count("*").alias("n"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.operators.numbering import numbered
+
 
 def latin_hypercube(n: int, d: int, seed: int = 42) -> np.ndarray:
     """n points of the unit cube, one in each of n slices of every dimension; the stream of a legacy ``seed``."""
@@ -26,6 +28,22 @@ def points(spark: SparkSession, n: int, d: int, seed: int = 42) -> DataFrame:
     return spark.createDataFrame(rows, "lhs_row int, u array<double>")
 
 
+def row_points(df: DataFrame, key: str, d: int, seed: int = 42) -> DataFrame:
+    """A point of the unit cube for each row of a table, as (key, u array<double>): a Latin hypercube over all rows.
+
+    In each dimension a salted hash of the key deals the rows to its slices, one each, and other digits of that hash
+    place them inside; all dimensions are numbered by one sort in ranges. A repeated key fails.
+    """
+    n = df.count()
+    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("dim").cast("string"), F.col(key).cast("string")), 256)
+    rows = df.select(key, F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("dim")).withColumn("_h", digest)
+    jitter = F.conv(F.substring("_h", 52, 13), 16, 10).cast("double") / float(1 << 52)
+    placed = numbered(rows, ["dim", "_h", key], "_place").select(key, "dim", ((F.col("_place") - F.col("dim") * n + jitter) / n).alias("u"))
+    points = placed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("dim", "u"))).alias("_p"))
+    told = F.raise_error(F.concat(F.lit("several rows of "), F.col(key).cast("string"))).cast("array<double>")
+    return points.select(key, F.when(F.size("_p") > d, told).otherwise(F.col("_p")["u"]).alias("u"))
+
+
 def level(u: Column, k: int, clamp: bool = True) -> Column:
     """Level 0 to k - 1 of a unit value."""
     at = F.floor(u * k).cast("int")

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler, StringIndexer
@@ -15,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.functions import laws
 from quillspark.operators.numbering import group_folds
 from quillspark.sources.scratch import stored
 
@@ -76,47 +75,32 @@ def contingency(df: DataFrame, a: str, b: str, noise: int | None = None) -> Data
 
 
 def mutual_information(table: DataFrame, a: str, b: str) -> DataFrame:
-    """n, mutual information, both entropies and the normalised information (arithmetic mean) of a contingency table."""
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    p = table.withColumns({"_t": total, "_a": F.sum("n").over(Window.partitionBy(a)), "_b": F.sum("n").over(Window.partitionBy(b))})
-    mi = F.sum(F.col("n") / F.col("_t") * F.ln(F.col("n") * F.col("_t") / (F.col("_a") * F.col("_b"))))
+    """n, mutual information, both entropies and the normalised information (arithmetic mean) of a contingency table.
+
+    Margins are windows over one class; the total is a row of its own that every cell is given.
+    """
+    total = table.agg(F.sum("n").alias("_t"))
+    p = table.withColumns({"_a": F.sum("n").over(Window.partitionBy(a)), "_b": F.sum("n").over(Window.partitionBy(b))}).join(F.broadcast(total))
+    mi = F.sum(F.col("n") / F.col("_t") * F.ln(F.col("n") / F.col("_a") * F.col("_t") / F.col("_b")))
     ha = F.sum(-F.col("n") / F.col("_t") * F.ln(F.col("_a") / F.col("_t")))
     hb = F.sum(-F.col("n") / F.col("_t") * F.ln(F.col("_b") / F.col("_t")))
     out = p.agg(F.sum("n").alias("n"), mi.alias("mi"), ha.alias("entropy_a"), hb.alias("entropy_b"))
     return out.withColumn("nmi", F.coalesce(F.try_divide(2 * F.col("mi"), F.col("entropy_a") + F.col("entropy_b")), F.lit(1.0)))
 
 
-def expected_information(rows: Sequence[int], columns: Sequence[int]) -> float:
-    """Expected mutual information of random tables with these margins (hypergeometric cells).
+def adjusted_information(table: DataFrame, a: str, b: str) -> DataFrame:
+    """n, mutual information, its expectation under the margins, and the information adjusted by it (arithmetic mean).
 
-    Of a cell's counts those within 12 standard deviations of its mean are summed; the rest weighs less than 1e-30.
+    Classes of one size have the same expectation, so sizes are paired, not classes: at most sqrt(2 n) sizes a side, and
+    a fold for each pair.
     """
-    n = sum(rows)
-    lf = lambda k: math.lgamma(k + 1)
-    out = 0.0
-    for a in rows:
-        for b in columns:
-            mean = a * b / n
-            reach = 12 * math.sqrt(mean * (n - a) * (n - b) / n / max(1, n - 1)) + 12
-            fixed = lf(a) + lf(b) + lf(n - a) + lf(n - b) - lf(n)
-            for k in range(max(1, a + b - n, int(mean - reach)), min(a, b, int(mean + reach) + 1) + 1):
-                log_p = fixed - lf(k) - lf(a - k) - lf(b - k) - lf(n - a - b + k)
-                out += k / n * math.log(n * k / (a * b)) * math.exp(log_p)
-    return out
+    sizes = [table.groupBy(c).agg(F.sum("n").alias(f"size_{k}")).groupBy(f"size_{k}").agg(F.count("*").alias(f"classes_{k}")) for c, k in ((a, "a"), (b, "b"))]
+    own = mutual_information(table, a, b)
+    paired = sizes[0].join(sizes[1]).join(F.broadcast(table.agg(F.sum("n").alias("_t"))))
+    share = F.col("classes_a") * F.col("classes_b") * laws.expected_cell_information(F.col("size_a"), F.col("size_b"), F.col("_t"))
+    expected = paired.agg(F.coalesce(F.sum(share), F.lit(0.0)).alias("expected_mi"))
+    down = (F.col("entropy_a") + F.col("entropy_b")) / 2 - F.col("expected_mi")
+    ami = F.when(F.abs(down) < 1e-15, F.lit(1.0)).otherwise((F.col("mi") - F.col("expected_mi")) / down)
+    return own.join(F.broadcast(expected)).where("n is not null").select("n", "mi", "expected_mi", ami.alias("ami"))
 
 
-def adjusted_information(table: DataFrame, a: str, b: str) -> DataFrame:
-    """Adjusted mutual information; margins (one number a class) are all that leaves Spark's aggregates."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index=a, columns=b, values="n", aggfunc="sum", fill_value=0).to_numpy(float)
-        n, r, c = wide.sum(), wide.sum(1), wide.sum(0)
-        k = wide > 0
-        mi = float((wide[k] / n * np.log(wide[k] * n / np.outer(r, c)[k])).sum())
-        h = [float(-(v / n * np.log(v / n)).sum()) for v in (r, c)]
-        expected = expected_information([int(x) for x in r], [int(x) for x in c])
-        down = sum(h) / 2 - expected
-        return pd.DataFrame({"n": [int(n)], "mi": [mi], "expected_mi": [expected], "ami": [1.0 if abs(down) < 1e-15 else (mi - expected) / down]})
-
-    return table.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "n long, mi double, expected_mi double, ami double")
-

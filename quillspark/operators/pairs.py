@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.labels import direction, recurrence
-from quillspark.operators.checks import assert_unique
+from quillspark.operators.checks import unique_rows
 from quillspark.operators.metrics import ratio
 
 
@@ -60,15 +60,15 @@ def positional(rows: DataFrame, source: DataFrame, group: str, position: str, or
 
 
 def one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], suffixes: tuple[str, str] = ("_left", "_right")) -> DataFrame:
-    """An inner join that fails if a key repeats on a side; other columns take the suffixes."""
+    """An inner join that fails while it runs if a key repeats on a side; other columns take the suffixes."""
     keys = list(keys)
-    sides = [assert_unique(x, keys).select(*keys, *[F.col(c).alias(c + s) for c in x.columns if c not in keys]) for x, s in zip((left, right), suffixes, strict=True)]
+    sides = [unique_rows(x, keys).select(*keys, *[F.col(c).alias(c + s) for c in x.columns if c not in keys]) for x, s in zip((left, right), suffixes, strict=True)]
     return sides[0].join(sides[1], keys)
 
 
 def many_to_one(fact: DataFrame, dimension: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A left join that fails if a key repeats in the dimension."""
-    return fact.join(assert_unique(dimension, keys), list(keys), "left")
+    """A left join that fails while it runs if a key repeats in the dimension."""
+    return fact.join(unique_rows(dimension, keys), list(keys), "left")
 
 
 def event_cells(pairs: DataFrame, groups: Sequence[str], left: Column, right: Column, least_events: int = 30, least_difference: float = 0.05) -> DataFrame:

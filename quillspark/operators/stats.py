@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.functions.special import fisher_exact_greater, t_two_sided
+from quillspark.functions import laws
 
 
 def benjamini_hochberg(df: DataFrame, groups: Sequence[str], p: str, out: str = "q_value") -> DataFrame:
@@ -61,12 +59,10 @@ def spearman(df: DataFrame, groups: Sequence[str], x: str, y: str, least_pairs:
 
 def spearman_p(df: DataFrame, groups: Sequence[str], x: str, y: str, least_pairs: int = 10) -> DataFrame:
     """:func:`spearman` with the two-sided p of the t approximation."""
-
-    @F.pandas_udf("double")
-    def p_of(rho: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([0.0 if abs(r) >= 1 else t_two_sided(r * math.sqrt((k - 2) / (1 - r * r)), k - 2) for r, k in zip(rho, n, strict=True)], dtype=float)
-
-    return spearman(df, groups, x, y, least_pairs).withColumn("p_value", p_of("rho", "n"))
+    free = (F.col("n") - 2).cast("double")
+    t = F.col("rho") * F.sqrt(F.try_divide(free, 1 - F.col("rho") * F.col("rho")))
+    p = F.when(F.abs("rho") >= 1, F.lit(0.0)).otherwise(laws.t_two_sided(t, free))
+    return spearman(df, groups, x, y, least_pairs).withColumn("p_value", p)
 
 
 def wasserstein(df: DataFrame, groups: Sequence[str], side: Column, left: str, right: str, value: str) -> DataFrame:
@@ -128,19 +124,10 @@ def cluster_contrast(df: DataFrame, groups: Sequence[str], cluster: Sequence[str
     means = df.select(*groups, *cluster, difference.alias("_d")).where("_d is not null").groupBy(*groups, *cluster).agg(F.avg("_d").alias("m"))
     out = means.groupBy(*groups).agg(F.count("*").alias("clusters"), F.avg("m").alias("mean"), F.stddev_samp("m").alias("sd"))
     se = F.col("sd") / F.sqrt("clusters")
-
-    @F.pandas_udf("double")
-    def p_of(mean: pd.Series, s: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([t_two_sided(m / v, k - 1) if v and v > 0 else math.nan for m, v, k in zip(mean, s, n, strict=True)], dtype=float)
-
-    return out.withColumns({"ci_low": F.col("mean") - 1.96 * se, "ci_high": F.col("mean") + 1.96 * se, "p_value": p_of("mean", se, "clusters")})
+    p = F.when(se > 0, laws.t_two_sided(F.try_divide(F.col("mean"), se), (F.col("clusters") - 1).cast("double"))).otherwise(F.lit(float("nan")))
+    return out.withColumns({"ci_low": F.col("mean") - 1.96 * se, "ci_high": F.col("mean") + 1.96 * se, "p_value": p})
 
 
 def exact_test(df: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:
     """Odds ratio and one-sided p of each row's 2x2 table [[a, b], [c, d]]."""
-
-    @F.pandas_udf("odds_ratio double, p_value double")
-    def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([fisher_exact_greater(*map(int, x)) for x in zip(a, b, c, d, strict=True)], columns=["odds_ratio", "p_value"])
-
-    return df.withColumn("_t", run(a, b, c, d)).select("*", "_t.*").drop("_t")
+    return df.withColumn("_t", laws.fisher_exact_greater(*map(F.col, (a, b, c, d)))).select("*", "_t.*").drop("_t")

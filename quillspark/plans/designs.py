@@ -24,15 +24,46 @@ def _u():
     return [F.get("u", F.lit(k)) for k in range(9)]
 
 
-@query("g01_latin_hypercube")
+# Designs over the rows of a table, and the same points and factors as SQL.
+
+
+def _points(name, key, d):
+    return f"h AS (SELECT {key}, dim, sha256('42:' || dim || ':' || {key}) AS h FROM {name}, range({d}) t(dim)), pu AS (SELECT {key}, dim, (row_number() OVER (PARTITION BY dim ORDER BY h, {key}) - 1 + ('0x' || substr(h, 52, 13))::UBIGINT / 4503599627370496.0::DOUBLE) / count(*) OVER (PARTITION BY dim) AS u FROM h), pt AS (SELECT {key}, list(u ORDER BY dim) AS u FROM pu GROUP BY 1)"
+
+
+def _level(k, n):
+    return f"least(floor(u[{k + 1}] * {n}), {n - 1})::INT"
+
+
+def _pick(k, values):
+    return f"[{', '.join(repr(v) for v in values)}][{_level(k, len(values))} + 1]"
+
+
+def _context(k, none="NULL"):
+    return f"CASE WHEN u[{k + 1}] >= 0.5 THEN least(floor((u[{k + 1}] - 0.5) * 10), 4)::INT ELSE {none} END"
+
+
+def _half(k, a, b):
+    return f"CASE WHEN u[{k + 1}] < 0.5 THEN '{a}' ELSE '{b}' END"
+
+
+def _design(name, key, d, **factors):
+    return f"WITH {_points(name, key, d)} SELECT {key}, {', '.join(f'{v} AS {k}' for k, v in factors.items())} FROM pt"
+
+
+_ORDER, _CLASS = ("question_first", "options_first"), ("short", "long")
+_TARGETS = ["a", "b", "c", "d", "e"]
+
+
+@query("g01_latin_hypercube", sql_rounded(f"WITH {_points('part', 'p_partkey', 8)} SELECT p_partkey, dim::INT AS dim, u FROM pu", "u", 9))
 def g01(spark, d):
-    return rounded(design.points(spark, 300, 8).select("lhs_row", F.posexplode("u").alias("dim", "u")))
+    return rounded(design.row_points(table(spark, d, "part"), "p_partkey", 8).select("p_partkey", F.posexplode("u").alias("dim", "u")), 9)
 
 
-@query("g02_choice_design")
+@query("g02_choice_design", _design("part", "p_partkey", 8, language=_pick(0, LANGUAGES), context_id=_context(1), instr_type=_half(2, *_ORDER), instr_idx=_level(3, 5), persona_class=_half(4, *_CLASS), persona_idx=_level(5, 5), key_type=_pick(6, KEY_TYPES), perm_id=_level(7, 4)))
 def g02(spark, d):
-    p = design.points(spark, 300, 8)
-    return p.select("lhs_row", *[v.alias(k) for k, v in design.choice_factors(_u(), LANGUAGES, KEY_TYPES).items()])
+    p = design.row_points(table(spark, d, "part"), "p_partkey", 8)
+    return p.select("p_partkey", *[v.alias(k) for k, v in design.choice_factors(_u(), LANGUAGES, KEY_TYPES).items()])
 
 
 _UNIT = "(p_partkey * {m} % 1009) / 1009.0::DOUBLE"
@@ -44,23 +75,37 @@ def g03(spark, d):
     return table(spark, d, "part").select("p_partkey", design.level(a, 3).alias("level3"), design.context(b).alias("context_id"), design.pick(a, ["english", "french", "german"]).alias("language"))
 
 
-@query("g04_stance_design")
+@query("g04_stance_design", _design("supplier", "s_suppkey", 7, context_id=_context(0), instr_type=_half(1, *_ORDER), instr_idx=_level(2, 5), persona_class=_half(3, *_CLASS), persona_idx=_level(4, 5), key_type=_pick(5, KEY_TYPES), perm_id=_level(6, 4)))
 def g04(spark, d):
-    return design.points(spark, 300, 7).select("lhs_row", *[v.alias(k) for k, v in design.stance_factors(_u(), KEY_TYPES).items()])
+    p = design.row_points(table(spark, d, "supplier"), "s_suppkey", 7)
+    return p.select("s_suppkey", *[v.alias(k) for k, v in design.stance_factors(_u(), KEY_TYPES).items()])
 
 
-@query("g05_target_design")
+@query("g05_target_design", _design("customer", "c_custkey", 8, language="'english'", target=_pick(0, _TARGETS), context_id=_context(1, "-1"), instr_idx=_level(3, 10), persona_class=_half(4, *_CLASS), persona_idx=_level(5, 5)))
 def g05(spark, d):
-    return design.points(spark, 300, 8).select("lhs_row", *[v.alias(k) for k, v in design.target_factors(_u(), ["a", "b", "c", "d", "e"]).items()])
+    p = design.row_points(table(spark, d, "customer"), "c_custkey", 8)
+    return p.select("c_custkey", *[v.alias(k) for k, v in design.target_factors(_u(), _TARGETS).items()])
 
 
-@query("g08_chat_design_with_variants")
+_CHAT = _design("orders", "o_orderkey", 9, language="'english'", suffix_idx=_level(0, 3), context_id=_context(1), instr_type=_half(2, *_ORDER), reasoning_mode=_pick(3, ["short", "neutral", "think"]), instr_idx=_level(4, 5), persona_class=_half(5, *_CLASS), persona_idx=_level(6, 5), key_type=_pick(7, KEY_TYPES), perm_id=_level(8, 4))
+
+
+@query("g08_chat_design_with_variants", f"SELECT * FROM ({_CHAT}) CROSS JOIN (VALUES ('q8', 'think', 'q8_think'), ('q8', 'no_think', 'q8_no_think'), ('g4', NULL, 'g4')) m(model, generation_mode, model_variant)")
 def g08(spark, d):
-    p = design.points(spark, 300, 9).select("lhs_row", *[v.alias(k) for k, v in design.chat_factors(_u(), "english", 3, ["short", "neutral", "think"], 5, KEY_TYPES).items()])
+    p = design.row_points(table(spark, d, "orders"), "o_orderkey", 9).select("o_orderkey", *[v.alias(k) for k, v in design.chat_factors(_u(), "english", 3, ["short", "neutral", "think"], 5, KEY_TYPES).items()])
     m = spark.createDataFrame([("q8", ["think", "no_think"]), ("g4", None)], "model string, modes array<string>")
     return p.crossJoin(F.broadcast(design.variants(m, F.col("modes")).drop("modes")))
 
 
+@query("g10_expected_items", "SELECT r_regionkey, count(*) AS expected, count(*) FILTER (WHERE (c_custkey, r_regionkey) NOT IN (SELECT o_custkey, o_orderkey % 5 FROM orders)) AS missing FROM customer, region GROUP BY 1")
+def g10(spark, d):
+    """Items that a design expects, a customer a config and a region a question, and those without a record."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("config_id"))
+    expected = design.items(c, F.broadcast(table(spark, d, "region").select("r_regionkey")), "r_regionkey", 5)
+    seen = table(spark, d, "orders").select((F.col("o_custkey") * 5 + F.col("o_orderkey") % 5).alias("item_uid")).distinct().withColumn("seen", F.lit(True))
+    return expected.join(seen, "item_uid", "left").groupBy("r_regionkey").agg(F.count("*").alias("expected"), F.count_if(F.col("seen").isNull()).alias("missing"))
+
+
 _MODELS = {"AUTOMOBILE": 2, "BUILDING": 0, "FURNITURE": 3, "HOUSEHOLD": 4, "MACHINERY": 1}
 
 

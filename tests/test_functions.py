@@ -134,8 +134,12 @@ def test_checks(spark):
         checks.assert_unique(df, ["k"])
     with pytest.raises(checks.ConstraintError):
         checks.require_columns(df, ["k"], exact=True)
-    with pytest.raises(checks.ConstraintError):
-        pairs.one_to_one(df, df, ["k"])
+    once = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, v string")
+    for late in (pairs.one_to_one(df, once, ["k"]), pairs.one_to_one(once, df, ["k"]), pairs.many_to_one(once, df, ["k"])):
+        with pytest.raises(Exception, match="several rows of"):
+            late.collect()
+    assert sorted(map(tuple, pairs.one_to_one(once, once, ["k"]).collect())) == [(1, "a", "a"), (2, "b", "b")]
+    assert pairs.many_to_one(df, once.withColumnRenamed("v", "w.x"), ["k"]).orderBy("v").collect() == [(1, "a", "a"), (1, "b", "a")]
     assert checks.unbalanced(df, ["v"], 1).count() == 0
 
 
@@ -175,5 +179,13 @@ def test_write_once(spark, tmp_path):
     assert sorted(r["a"] for r in first.collect()) == sorted(r["a"] for r in again.collect()) == [0, 1, 2]
 
 
-def test_expected_information_of_independent_labels():
-    assert models.expected_information([2, 2], [2, 2]) == pytest.approx(math.log(2) / 3)
+def test_points_of_rows(spark):
+    rows = spark.range(97).selectExpr("id * 3 as k", "'x' as u", "1 as dim").repartition(5)
+    u = np.array([r.u for r in design.row_points(rows, "k", 4).collect()])
+    assert u.shape == (97, 4)
+    for k in range(4):
+        assert sorted(np.floor(u[:, k] * 97 + 1e-9).astype(int)) == list(range(97))
+    assert abs(np.corrcoef(u.T) - np.eye(4)).max() < 0.4
+    assert design.row_points(rows.where("k < 0"), "k", 4).collect() == []
+    with pytest.raises(Exception, match="several rows of"):
+        design.row_points(rows.unionAll(rows.limit(1)), "k", 4).collect()
