@@ -8,6 +8,7 @@ from quillspark.functions import text
 from quillspark.operators import phrases, sampling
 from quillspark.plans.bindings import rounded, sql_rounded, table
 from quillspark.plans.registry import query
+from quillspark.sources.scratch import stored
 
 
 def _docs(spark, d):
@@ -180,6 +181,7 @@ def k06(spark, d):
 @query("k06_confirmed_phrases")
 def k06_confirmed(spark, d):
     counts, totals = _phrases(spark, d)
+    counts = stored(counts, "phrase-counts")  # read for both halves
     return rounded(phrases.confirmed(counts, totals, phrases.discovered(counts, totals, 5, 10), 3))
 
 
