@@ -140,3 +140,17 @@ def rank_of(x: Column, order: list[str]) -> Column:
     for k, v in enumerate(order[1:], 1):
         out = out.when(x == v, k)
     return out.otherwise(len(order))
+
+
+# The quadrant that a persona stands for, as signs of (economic, social).
+TARGET_SIGNS = {"libertarian_left": (-1, -1), "libertarian_right": (1, -1), "authoritarian_left": (-1, 1), "authoritarian_right": (1, 1)}
+
+
+def looked_up(key: Column, values: dict) -> Column:
+    """The value that a closed table holds for a key; null where it holds none, or the key is null."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), key)
+
+
+def target_signs(persona: Column) -> tuple[Column, Column]:
+    """Economic and social sign of a persona's quadrant; null for those that have none."""
+    return tuple(looked_up(persona, {k: v[axis] for k, v in TARGET_SIGNS.items()}) for axis in (0, 1))
