@@ -214,5 +214,5 @@ def s18(spark, d):
 
     path = f"{scratch(spark)}/manifest-{uuid.uuid4().hex}"
     own = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("name")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
-    tables.write_manifest(own, path)
-    return rounded(tables.read_log(spark, path, "name string, n long, total double", strict=True), 0)
+    tables.write_manifest(own, path, "name")
+    return rounded(tables.read_manifest(spark, path, "name", "n: bigint, total: double"), 0)

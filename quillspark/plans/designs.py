@@ -281,6 +281,17 @@ def e02(spark, d):
     return spark.read.parquet(folder).select("user_id", "event_type")
 
 
+@query("e01_log_by_type", "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def e01(spark, d):
+    """A log of JSON lines, a folder for each type, written by two runs of which the second goes on where the first ended."""
+    source, folder = _folder(spark, "stream"), _folder(spark, "log")
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type")
+    for k in range(2):
+        events.where(F.pmod("event_id", F.lit(2)) == k).write.mode("append").parquet(source)
+        logs.append_new(logs.read_stream(spark, source, events.schema), folder, f"{folder}-log", ["user_id", "event_type"], ["event_type"], "json")
+    return spark.read.schema("event_id long, user_id long, event_type string").json(folder).groupBy("event_type").agg(F.count("*").alias("users"))
+
+
 @query("e04_attempts", "SELECT user_id, count(*) AS attempts, bool_or(event_type <> 'error') AS done, NOT bool_or(event_type <> 'error') AND count(*) >= 3 AS given_up FROM events GROUP BY 1")
 def e04(spark, d):
     e = table(spark, d, "events").withColumn("error", F.when(F.col("event_type") == "error", "failed"))

@@ -16,6 +16,9 @@ SETTINGS = {
     "spark.ui.enabled": "false",
 }
 
+#: State of streams in files on the executors instead of their memory.
+STATE_ON_DISK = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
 
 def local(cores: int | str = 8, memory: str = "8g", **settings: str) -> SparkSession:
     """A session of one machine, for tests and benches."""

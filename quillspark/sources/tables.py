@@ -77,9 +77,21 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def write_manifest(df: DataFrame, path: str) -> None:
-    """A small table as one JSON-lines file: a manifest has a row for each file or run."""
-    df.coalesce(1).write.mode("error").json(path)
+def write_manifest(df: DataFrame, path: str, key: str) -> None:
+    """A small table as one indented JSON object: a field for each row, by its key, and all names sorted.
+
+    A manifest has a row for each file or run; keys are unique and not null.
+    """
+    entry = F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns) if c != key])
+    fields = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), entry.alias("v"))))
+    whole = df.agg(F.to_json(F.map_from_entries(fields), {"pretty": "true"}).alias("value"))
+    whole.coalesce(1).write.mode("error").text(path)
+
+
+def read_manifest(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
+    """The rows of a manifest: its keys and the named fields."""
+    told = F.from_json("value", f"map<string, struct<{schema}>>", {"mode": "FAILFAST"})
+    return spark.read.text(path, wholetext=True).select(F.explode(told).alias(key, "_v")).select(key, "_v.*")
 
 
 def log_probability(record: Column, token: Column) -> Column:

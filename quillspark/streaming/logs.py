@@ -18,17 +18,17 @@ def drained(query: StreamingQuery) -> None:
     query.awaitTermination()
 
 
-def append_new(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str]) -> None:
-    """Append records whose key isn't in the target yet; a batch that runs again after a failure adds nothing twice."""
+def append_new(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str], by: Sequence[str] = (), form: str = "parquet") -> None:
+    """Append the first record of each key to a log, in folders by the columns ``by``; ended or killed, it resumes.
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.dropDuplicates(list(keys))
-        if exists(spark, f"{target}/_SUCCESS"):
-            rows = rows.join(spark.read.parquet(target).select(*keys).distinct(), list(keys), "left_anti")
-        rows.write.mode("append").parquet(target)
-
-    drained(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    Keys that were written are state of the stream, held beside its keys' partitions, so no batch reads the target. The
+    file sink lists the files of whole batches only: a batch that runs again after a failure adds nothing twice. Both
+    belong to ``checkpoint``, which must stay with its target. Nulls are equal keys. For many keys a session keeps state
+    on disk (``session.STATE_ON_DISK``).
+    """
+    fresh = stream.dropDuplicates(list(keys))
+    writer = fresh.writeStream.format(form).option("path", target).option("checkpointLocation", checkpoint)
+    drained((writer.partitionBy(*by) if by else writer).trigger(availableNow=True).start())
 
 
 def _version(spark: SparkSession, folder: str, epoch: int) -> dict[int, str]:

@@ -1,8 +1,12 @@
 """Streamed upserts by bucket and recorded progress."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark import session
+from quillspark.sources import tables
 from quillspark.streaming import logs
 
 SCHEMA = "k long, at long, v string"
@@ -48,3 +52,36 @@ def test_a_failure_is_raised_and_recorded(spark, tmp_path):
     bad = logs.read_stream(spark, source, "id long").select(F.raise_error(F.lit("no good")).cast("long").alias("x"))
     with pytest.raises(Exception, match="no good"):
         logs.watched(spark, lambda: bad.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start(), f"{tmp_path}/progress")
+
+
+@pytest.mark.parametrize("provider", [None, *session.STATE_ON_DISK.values()])
+def test_a_log_resumes_after_a_failure(spark, tmp_path, provider):
+    source, target, at = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/checkpoint"
+    for k in range(4):
+        spark.range(10 * k, 10 * k + 15, 1, 1).selectExpr("id % 40 as k", "id as v").write.mode("append").parquet(source)
+    name = next(iter(session.STATE_ON_DISK))
+    before = spark.conf.get(name)
+    spark.conf.set(name, provider or before)
+    try:
+        stream = logs.read_stream(spark, source, "k long, v long")
+        broken = stream.withColumn("v", F.when(F.col("k") == 27, F.raise_error(F.lit("killed"))).otherwise(F.col("v")))
+        with pytest.raises(Exception, match="killed"):
+            logs.append_new(broken, target, at, ["k"])
+        held = spark.read.schema("k long, v long").parquet(target).count()
+        assert 0 < held < 40
+        for _ in range(2):
+            logs.append_new(stream, target, at, ["k"])
+            assert sorted(r.k for r in spark.read.parquet(target).collect()) == list(range(40))
+        spark.createDataFrame([(3, 0), (41, 1), (None, 2), (None, 3)], "k long, v long").coalesce(1).write.mode("append").parquet(source)
+        logs.append_new(stream, target, at, ["k"])
+        assert sorted((r.k for r in spark.read.parquet(target).collect()), key=str) == sorted([*range(40), 41, None], key=str)
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_manifest(spark, tmp_path):
+    path = f"{tmp_path}/manifest"
+    tables.write_manifest(spark.createDataFrame([("b", 2, None), ("a", 1, "x")], "name string, size long, digest string"), path, "name")
+    told = "".join(p.read_text() for p in (tmp_path / "manifest").glob("part-*"))
+    assert json.loads(told) == {"a": {"digest": "x", "size": 1}, "b": {"size": 2}} and told.index('"a"') < told.index('"b"') and "\n  " in told
+    assert sorted(tables.read_manifest(spark, path, "name", "size: bigint, digest: string").collect()) == [("a", 1, "x"), ("b", 2, None)]
