@@ -7,9 +7,8 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quillspark.operators.numbering import numbered
+from quillspark.operators.numbering import numbered, numbered_within
 
 
 def latin_hypercube(n: int, d: int, seed: int = 42) -> np.ndarray:
@@ -95,9 +94,9 @@ def crossed(samples: DataFrame, models: Sequence[str], personas: Sequence[str],
 
 def with_config_id(design: DataFrame, offsets: dict[str, int], block: int, order: Sequence[str]) -> DataFrame:
     """``offset[model] * block`` plus the row's place in its model."""
-    place = F.row_number().over(Window.partitionBy("model").orderBy(*order)) - 1
     offset = F.create_map(*[x for m, k in offsets.items() for x in (F.lit(m), F.lit(k))])
-    return design.withColumn("config_id", (F.try_element_at(offset, F.col("model")) * block + place).cast("long"))
+    placed = numbered_within(design, ["model"], order, "_at")
+    return placed.withColumn("config_id", (F.try_element_at(offset, F.col("model")) * block + F.col("_at")).cast("long")).drop("_at")
 
 
 def variants(models: DataFrame, modes: Column) -> DataFrame:
@@ -114,5 +113,4 @@ def items(design: DataFrame, questions: DataFrame, question_id: str, per_config:
 
 def sharded(df: DataFrame, order: Sequence[str], n: int, groups: Sequence[str] = ()) -> DataFrame:
     """Round-robin shards after a sort: row k of the order (in its group) goes to shard k mod n."""
-    w = Window.partitionBy(*(groups or [F.lit(1)])).orderBy(*order)
-    return df.withColumn("shard", F.pmod(F.row_number().over(w) - 1, F.lit(n)).cast("int"))
+    return numbered_within(df, groups, order, "shard").withColumn("shard", F.pmod("shard", F.lit(n)).cast("int"))

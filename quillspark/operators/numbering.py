@@ -26,6 +26,25 @@ def numbered(df: DataFrame, order: Sequence[Column | str], out: str) -> DataFram
     return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(out, place).drop("_part", "_before")
 
 
+def with_group(df: DataFrame, keys: Sequence[str], facts: DataFrame) -> DataFrame:
+    """``df`` with what ``facts`` (a row a group) holds of each row's group; null keys are equal.
+
+    A join, not a window: where facts turn out small they are told to all tasks, else hot keys are split as it runs.
+    """
+    told = facts.withColumnsRenamed({k: f"_key{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    return df.join(told, same).drop(*[f"_key{i}" for i in range(len(keys))])
+
+
+def numbered_within(df: DataFrame, groups: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """``df`` with its rows' places from 0 in their group: all rows numbered by ranges, less the group's first place."""
+    placed = numbered(df, [*groups, *order], out)
+    if not groups:
+        return placed
+    first = placed.groupBy(*groups).agg(F.min(out).alias("_first"))
+    return with_group(placed, groups, first).withColumn(out, F.col(out) - F.col("_first")).drop("_first")
+
+
 def dealt(sizes: Sequence[tuple[int, int]], folds: int) -> list[list[int]]:
     """How many groups of each (size, groups), largest first, go to each fold if each goes to the fold with the fewest rows."""
     rows, out = [0] * folds, []

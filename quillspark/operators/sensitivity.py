@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions.special import f_log_tail
+from quillspark.operators.numbering import with_group
 
 
 def stacked(df: DataFrame, factors: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -47,9 +48,12 @@ def spread_overview(df: DataFrame, model: Sequence[str], stratum: str, score: st
     return df.groupBy(*model).agg(sd(score).alias("total_sd"), F.count(score).alias("n")).join(means, list(model))
 
 
-def without_block(df: DataFrame, model: Sequence[str], block: str, score: str) -> Column:
-    """The score with its block's effect removed: less the block's mean, plus the model's."""
-    return F.col(score) - F.avg(score).over(Window.partitionBy(*model, block)) + F.avg(score).over(Window.partitionBy(*model))
+def without_block(df: DataFrame, model: Sequence[str], block: str, score: str, out: str) -> DataFrame:
+    """``df`` with its score less the block's mean, plus the model's, as ``out``: block means joined, no window of all rows."""
+    blocks = df.groupBy(*model, block).agg(F.sum(score).alias("_sum"), F.count(score).alias("_n"))
+    whole = Window.partitionBy(*model)
+    shift = F.try_divide(F.sum("_sum").over(whole), F.sum("_n").over(whole).cast("double")) - F.try_divide("_sum", F.col("_n").cast("double"))
+    return with_group(df, [*model, block], blocks.select(*model, block, shift.alias("_shift"))).withColumn(out, F.col(score) + F.col("_shift")).drop("_shift")
 
 
 def cells(df: DataFrame, by: Sequence[str], factors: Sequence[str], score: str) -> DataFrame:
@@ -173,7 +177,7 @@ def blocked_variation(df: DataFrame, model: str, stratum: str, block: str, facto
     fits = anova_by(df, [model, stratum], [block, *factors], score)
     resid = F.col("term").isin("residual", "unfitted")
     per = fits.groupBy(model).agg(F.sum(F.when(resid, F.col("ss"))).alias("ss_resid"), *[F.sum(F.when(F.col("term") == f, F.col("ss")).otherwise(0.0)).alias(f"ss_{f}") for f in factors])
-    adjusted = df.withColumn("_a", without_block(df, [model], block, score))
+    adjusted = without_block(df, [model], block, score, "_a")
     means = adjusted.groupBy(model, stratum).agg(F.avg("_a").alias("m")).groupBy(model).agg(F.stddev_samp("m").alias("stratum_sd"))
     whole = adjusted.groupBy(model).agg(F.count("_a").alias("n"), F.avg(score).alias("mean_score"), F.var_pop("_a").alias("v"), F.avg(blur).alias("blur")).join(means, model).join(per, model)
     n = F.col("n")

@@ -119,8 +119,7 @@ def st02_overview(spark, d):
 
 @query("a24_block_removed", sql_rounded(f"WITH {SCORES} SELECT model, stratum, avg(a) AS mean_adjusted, var_samp(a) AS variance FROM (SELECT *, score - avg(score) OVER (PARTITION BY model, block) + avg(score) OVER (PARTITION BY model) AS a FROM sc) GROUP BY ALL", "mean_adjusted variance"))
 def a24(spark, d):
-    rows = scores(spark, d)
-    adjusted = rows.withColumn("a", sensitivity.without_block(rows, ["model"], "block", "score"))
+    adjusted = sensitivity.without_block(scores(spark, d), ["model"], "block", "score", "a")
     return rounded(adjusted.groupBy("model", "stratum").agg(F.avg("a").alias("mean_adjusted"), F.var_samp("a").alias("variance")))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from quillspark.functions.labels import rank_of
 from quillspark.operators import metrics
+from quillspark.operators.numbering import numbered_within, with_group
 from quillspark.plans.bindings import PREDICTIONS, STANCES, predictions, rounded, sql_rounded, stances, table
 from quillspark.plans.registry import query
 
@@ -166,7 +167,8 @@ def st28(spark, d):
 
 @query("w02_group_mean", sql_rounded("SELECT event_id, avg(value) OVER (PARTITION BY event_type) AS group_mean FROM events", "group_mean"))
 def w02(spark, d):
-    return rounded(table(spark, d, "events").select("event_id", F.avg("value").over(Window.partitionBy("event_type")).alias("group_mean")))
+    e = table(spark, d, "events").select("event_id", "event_type", "value")
+    return rounded(with_group(e, ["event_type"], e.groupBy("event_type").agg(F.avg("value").alias("group_mean"))).select("event_id", "group_mean"))
 
 
 @query("w04_ranks_across_columns", f"WITH {PREDICTIONS}, m AS (SELECT model, avg(p) AS a, avg(gold::INT) AS b, count(*) / 1000.0::DOUBLE AS c FROM pred GROUP BY model), u AS (SELECT model, 'a' AS name, a AS v FROM m UNION ALL SELECT model, 'b', b FROM m UNION ALL SELECT model, 'c', c FROM m) SELECT model, name, rank() OVER (PARTITION BY model ORDER BY v DESC)::INT AS place FROM u")
@@ -185,7 +187,7 @@ def w05(spark, d):
 
 @query("w01_row_in_block", "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id)::INT - 1 AS lhs_row FROM events")
 def w01(spark, d):
-    return table(spark, d, "events").select("event_id", (F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1).alias("lhs_row"))
+    return numbered_within(table(spark, d, "events").select("event_id", "event_type"), ["event_type"], ["event_id"], "lhs_row").select("event_id", F.col("lhs_row").cast("int").alias("lhs_row"))
 
 
 @query("w08_first_k_per_group", "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events) WHERE r <= 3")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import arrays, labels, special, stance, text
-from quillspark.operators import checks, compaction, design, models, pairs, phrases, resampling, sensitivity, stats
+from quillspark.operators import checks, compaction, design, models, numbering, pairs, phrases, resampling, sensitivity, stats
 from quillspark.plans import designs
 from quillspark.sources import tables
 
@@ -189,3 +189,17 @@ def test_points_of_rows(spark):
     assert design.row_points(rows.where("k < 0"), "k", 4).collect() == []
     with pytest.raises(Exception, match="several rows of"):
         design.row_points(rows.unionAll(rows.limit(1)), "k", 4).collect()
+
+
+def test_places_within_groups(spark):
+    rows = [(k, "hot" if k % 3 else None if k % 2 else "b", 100 - k // 2) for k in range(60)]
+    df = spark.createDataFrame(rows, "k int, g string, o int").repartition(7)
+    got = {r.k: r.at for r in numbering.numbered_within(df, ["g"], ["o", "k"], "at").collect()}
+    for g in ("hot", "b", None):
+        own = sorted((o, k) for k, own, o in rows if own == g)
+        assert [got[k] for _, k in own] == list(range(len(own)))
+    assert sorted(r.at for r in numbering.numbered_within(df, [], ["k"], "at").collect()) == list(range(60))
+    assert numbering.numbered_within(df.where("k < 0"), ["g"], ["k"], "at").collect() == []
+    scored = sensitivity.without_block(df.withColumn("s", F.col("o").cast("double")), ["g"], "k", "s", "a")
+    means = {g: sum(o for _, own, o in rows if own == g) / sum(own == g for _, own, _ in rows) for g in ("hot", "b", None)}
+    assert scored.count() == 60 and all(r.a == pytest.approx(means[r.g]) for r in scored.collect())
