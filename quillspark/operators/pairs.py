@@ -45,18 +45,19 @@ def agreeing(left: DataFrame, right: DataFrame, keys: Sequence[str], facts: Sequ
 def positional(rows: DataFrame, source: DataFrame, group: str, position: str, order: Sequence[str], facts: Sequence[str]) -> DataFrame:
     """Rows with their item of ``source``, found by its group and place there (from 1, in ``order``), and whether it agrees.
 
-    A row whose place the source doesn't have fails.
+    A row whose place the source doesn't have fails, and so does an item that no row is for.
     """
     from pyspark.sql.window import Window
 
     place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     wanted = source.select(group, place.alias(position), *[F.col(c).alias(f"{c}_expected") for c in facts], F.lit(True).alias("_found"))
-    met = rows.join(wanted, [group, position], "left")
-    told = F.raise_error(F.concat(F.lit("no item at "), F.to_json(F.struct(group, position)))).cast("boolean")
+    met = rows.withColumn("_own", F.lit(True)).join(wanted, [group, position], "full")
+    lacks = F.when(F.col("_found").isNull(), "no item at ").when(F.col("_own").isNull(), "no row for the item at ")
+    told = F.raise_error(F.concat(lacks, F.to_json(F.struct(group, position)))).cast("boolean")
     same = F.lit(True)
     for c in facts:
         same = same & F.col(c).eqNullSafe(F.col(f"{c}_expected"))
-    return met.withColumn("aligned", F.when(F.col("_found").isNull(), told).otherwise(same)).drop("_found", *[f"{c}_expected" for c in facts])
+    return met.withColumn("aligned", F.when(lacks.isNotNull(), told).otherwise(same)).drop("_found", "_own", *[f"{c}_expected" for c in facts])
 
 
 def one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], suffixes: tuple[str, str] = ("_left", "_right")) -> DataFrame:

@@ -203,3 +203,13 @@ def test_places_within_groups(spark):
     scored = sensitivity.without_block(df.withColumn("s", F.col("o").cast("double")), ["g"], "k", "s", "a")
     means = {g: sum(o for _, own, o in rows if own == g) / sum(own == g for _, own, _ in rows) for g in ("hot", "b", None)}
     assert scored.count() == 60 and all(r.a == pytest.approx(means[r.g]) for r in scored.collect())
+
+
+def test_positional_alignment_of_all_items(spark):
+    source = spark.createDataFrame([("a", 5, "x"), ("a", 3, "y"), ("b", 1, "z")], "g string, id int, v string")
+    rows = spark.createDataFrame([("a", 1, "y"), ("a", 2, "other"), ("b", 1, "z")], "g string, at int, v string")
+    met = pairs.positional(rows, source, "g", "at", ["id"], ["v"])
+    assert sorted((r.g, r.at, r.aligned) for r in met.collect()) == [("a", 1, True), ("a", 2, False), ("b", 1, True)]
+    for bad, told in ((rows.unionAll(spark.createDataFrame([("b", 2, "z")], rows.schema)), "no item at"), (rows.where("g = 'a'"), "no row for the item at")):
+        with pytest.raises(Exception, match=told):
+            pairs.positional(bad, source, "g", "at", ["id"], ["v"]).collect()
