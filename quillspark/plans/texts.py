@@ -154,7 +154,7 @@ _STOP = ["and", "in", "to"]
 @query("k04_document_phrases", f"WITH {_GRAMS} SELECT doc_id, count(*) AS phrases FROM gr GROUP BY 1")
 def k04(spark, d):
     p = phrases.document_phrases(F.col("text"), 3, F.array(F.lit("the"), F.lit("of")), _STOP)
-    return _docs(spark, d).select("doc_id", F.size(p).cast("long").alias("phrases")).where("phrases > 0")
+    return phrases.with_phrases(_docs(spark, d), p, "doc_id").select("doc_id", F.size("phrases").cast("long").alias("phrases")).where("phrases > 0")
 
 
 def _phrases(spark, d, **kept):

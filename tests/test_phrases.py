@@ -55,3 +55,8 @@ def test_phrases_are_shuffled_once(spark):
     assert k05.count("Exchange hashpartitioning") == k05.count("Exchange hashpartitioning(phrase") == 1
     k06 = plan(registry.queries()["k06_discovered_phrases"](spark, DATA))
     assert sum("phrase#" in line.split("hashpartitioning")[1].split(")")[0] for line in k06.splitlines() if "Exchange hashpartitioning" in line) == 1
+
+
+def test_phrases_are_made_once(spark):
+    k04 = plan(registry.queries()["k04_document_phrases"](spark, DATA))
+    assert k04.count("regexp_extract_all") == 1
