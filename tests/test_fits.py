@@ -1,6 +1,7 @@
 """Fits over aggregated cells against least squares over every row, dummies and all."""
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -120,3 +121,19 @@ def test_combined_p_values(rows):
         half = -p.sum()
         tail = math.log(sum(math.exp(i * math.log(half) - math.lgamma(i + 1)) for i in range(len(p)))) - half
         assert r["k"] == len(p) and r["chi2"] == pytest.approx(2 * half) and r["log10p"] == pytest.approx(tail / math.log(10), abs=1e-9)
+
+
+def test_combination_of_many_p_values(spark):
+    """Sums whose terms pass the largest double, as those of some 500 p-values do, against exact ones."""
+    logs = [math.log((7919 * k % 1000 + 1) / 2000) for k in range(700)]
+    df = spark.createDataFrame([("a", "x", v) for v in logs], "model string, term string, log_p double")
+    r = sensitivity.fisher_combined(df, ["model"]).first()
+    half = Fraction(r["chi2"]) / 2
+    term = total = Fraction(1)
+    for i in range(1, 700):
+        term = term * half / i
+        total += Fraction(round(term * 2**100), 2**100)
+        term = Fraction(round(term * 2**100), 2**100)
+    tail = math.log(total.numerator) - math.log(total.denominator) - float(half)
+    assert r["chi2"] == pytest.approx(-2 * math.fsum(logs)) and total > 10**309
+    assert r["log10p"] == pytest.approx(tail / math.log(10), abs=1e-9)
