@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from quillspark.operators.numbering import numbered, numbered_within
 
+#: Points that one task puts together.
+TASK_KEYS = 500_000
+
 
 def latin_hypercube(n: int, d: int, seed: int = 42) -> np.ndarray:
     """n points of the unit cube, one in each of n slices of every dimension; the stream of a legacy ``seed``."""
@@ -34,13 +37,17 @@ def row_points(df: DataFrame, key: str, d: int, seed: int = 42) -> DataFrame:
     place them inside; all dimensions are numbered by one sort in ranges. A repeated key fails.
     """
     n = df.count()
-    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("dim").cast("string"), F.col(key).cast("string")), 256)
-    rows = df.select(key, F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("dim")).withColumn("_h", digest)
-    jitter = F.conv(F.substring("_h", 52, 13), 16, 10).cast("double") / float(1 << 52)
-    placed = numbered(rows, ["dim", "_h", key], "_place").select(key, "dim", ((F.col("_place") - F.col("dim") * n + jitter) / n).alias("u"))
-    points = placed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("dim", "u"))).alias("_p"))
-    told = F.raise_error(F.concat(F.lit("several rows of "), F.col(key).cast("string"))).cast("array<double>")
-    return points.select(key, F.when(F.size("_p") > d, told).otherwise(F.col("_p")["u"]).alias("u"))
+    digest = F.unhex(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("dim").cast("string"), F.col(key).cast("string")), 256))
+    # Eight bytes deal the ranges; the whole hash is made again behind the shuffle, and not stored.
+    rows = df.select(key, F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("dim")).withColumn("_begin", F.substring(digest, 1, 8))
+    jitter = F.conv(F.substring(F.hex("_h"), 52, 13), 16, 10).cast("double") / float(1 << 52)
+    placed = numbered(rows, ["dim", "_h", key], "_place", ["dim", "_begin"], {"_h": digest}, [key, "dim", jitter.alias("_jitter")])
+    told = placed.select(key, "dim", ((F.col("_place") - F.col("dim") * n + F.col("_jitter")) / n).alias("u"))
+    # A key's rows meet as they are: nothing of them could be summed before.
+    met = told.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // TASK_KEYS), key)
+    points = met.groupBy(key).agg(F.count("*").alias("_n"), F.array(*[F.max(F.when(F.col("dim") == k, F.col("u"))) for k in range(d)]).alias("u"))
+    several = F.raise_error(F.concat(F.lit("several rows of "), F.col(key).cast("string"))).cast("array<double>")
+    return points.select(key, F.when(F.col("_n") > d, several).otherwise(F.col("u")).alias("u"))
 
 
 def level(u: Column, k: int, clamp: bool = True) -> Column:

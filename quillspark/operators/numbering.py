@@ -13,10 +13,15 @@ from quillspark.sources.scratch import stored
 _ROW = (1 << 33) - 1
 
 
-def numbered(df: DataFrame, order: Sequence[Column | str], out: str) -> DataFrame:
-    """``df`` with its rows' places from 0 in ``order``: ranges sorted apart, each after all rows of those before it."""
+def numbered(df: DataFrame, order: Sequence[Column | str], out: str, by: Sequence[Column | str] = (), made: dict[str, Column] | None = None, kept: Sequence[Column | str] = ("*",)) -> DataFrame:
+    """``df`` with its rows' places from 0 in ``order``: ranges sorted apart, each after all rows of those before it.
+
+    ``by`` deals the ranges, where something that begins the order is enough for that; columns ``made`` from the rows
+    then take part in the sort without being shuffled. Only ``kept`` is stored.
+    """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = stored(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(out, F.monotonically_increasing_id()), "numbered")
+    ranges = df.repartitionByRange(parts, *(by or order)).withColumns(made or {})
+    placed = stored(ranges.sortWithinPartitions(*order).select(*kept, F.monotonically_increasing_id().alias(out)), "numbered")
     part = F.shiftright(out, 33)
     sizes = sorted(placed.groupBy(part.alias("part")).count().collect())
     before = np.cumsum([0, *(n for _, n in sizes)])
