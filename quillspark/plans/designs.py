@@ -230,10 +230,7 @@ def s12(spark, d):
     item = lambda i: F.concat_ws(",", (F.get("embedding", i % 64).cast("double") * (i + 1)).cast("string"), F.coalesce(F.col("label").cast("string"), F.lit("")), quoted(i), F.lit(""))
     line = F.concat_ws(",", F.col("vec_id").cast("string"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(_ITEMS - 1)), item), ","))
     header = ",".join(["vec_id", *[f"q{i}_{s}" for i in range(_ITEMS) for s in ("value", "label", "said", "none")]])
-    for k in range(4):
-        rows = e.where(F.pmod("vec_id", F.lit(4)) == k).select(F.lit(1).alias("o"), line.alias("value"))
-        both = spark.createDataFrame([(0, header)], "o int, value string").unionByName(rows)
-        both.coalesce(1).sortWithinPartitions("o").select("value").write.mode("append").text(path)
+    wide.lines(e.select("vec_id", "embedding", "label"), header, line, F.pmod("vec_id", F.lit(4)), 4).write.text(path)
     rows, names = wide.wide_rows(spark, wide.expected_files(spark, path, "part-*", 4))
     long = wide.unfolded(rows, names, {"vec_id": "long"}, r"q(\d+)_(\w+)", {"value": "double", "label": "int", "said": "string"})
     out = long.groupBy("item").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.countDistinct("label").alias("labels"), F.min("said").alias("said"))

@@ -22,6 +22,17 @@ def expected_files(spark: SparkSession, path: str, glob: str, expected: int) ->
     return found
 
 
+def lines(rows: DataFrame, header: str, line: Column, file: Column, files: int) -> DataFrame:
+    """(value) in as many partitions as files, each the header and its rows' lines: ``file`` tells a row's, from 0.
+
+    The header is sorted to a partition's front before lines are made of the rows, so no task holds lines.
+    """
+    own = rows.select(F.lit(1).alias("_part"), file.cast("int").alias("_file"), F.struct("*").alias("_row"))
+    first = rows.sparkSession.createDataFrame([(0, k) for k in range(files)], "_part int, _file int")
+    dealt = first.unionByName(own, allowMissingColumns=True).repartitionById(files, F.col("_file")).sortWithinPartitions("_part")
+    return dealt.select("_part", "_row.*").select(F.when(F.col("_part") == 0, header).otherwise(line).alias("value"))
+
+
 def fields(line: Column) -> Column:
     """A CSV line's fields as an array of strings: unquoted, empty ones null. A field holds no line break."""
     own = F.regexp_extract_all(F.concat(F.regexp_replace(line, "\\r$", ""), F.lit(",")), F.lit(_FIELD), F.lit(1))
