@@ -2,9 +2,9 @@
 
 A text, its spaces written as the piece mark, is cut wherever no piece could cross: at word and line ends, and between
 two characters that stand side by side in no piece. What lies between two cuts is a segment. The segments of a block
-of rows are made distinct; each is exploded into its substrings of at most the longest piece's length, and an
-equi-join with the piece table keeps the lattice's edges. Edges are grouped by segment, and a higher-order aggregate
-folds them:
+of rows are made distinct, then those of all blocks, so that a segment is folded once, in however many blocks it lies.
+Each is exploded into its substrings of at most the longest piece's length, and an equi-join with the piece table keeps
+the lattice's edges. Edges are grouped by segment, and a higher-order aggregate folds them:
 
 * ``unigram`` models: Viterbi, the path of the largest sum of scores, by ends;
 * ``bpe`` models (the given one): a sum of scores is not what such a model means, so the fold applies its merges
@@ -13,9 +13,9 @@ folds them:
 
 Characters without a piece become byte pieces, or the unknown piece where the model has none. Segments longer than
 ``lattice_chars`` (at most 62, the bits of the fold's state), and all segments of a model that isn't in order, go
-through the same rule by a heap in Python, which keeps the lattice's rows linear in the text. Texts travel
-compressed, beside their block's segments, so nothing is joined word by word over the corpus. A block ends at
-``block_chars`` characters. Where a source gives its rows in another order when it is read again, blocks can differ
+through the same rule by a heap in Python, which keeps the lattice's rows linear in the text. A block's segments are
+joined with their cuts, a bit a cut, and meet the block's texts, which travel compressed; texts are cut and put together
+in Arrow and numpy. A block ends at ``block_chars`` bytes of text. Where a source gives its rows in another order when it is read again, blocks can differ
 between both reads; a segment that its block lacks then goes through the heap too, with the same ids.
 
 Defined cases: null or empty text has no ids; repeated rows and null ids are rows like others; an empty table gives
@@ -26,11 +26,11 @@ from __future__ import annotations
 
 import heapq
 import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,6 +59,20 @@ class Pieces:
         """Pairs of characters that stand side by side in a piece; no piece crosses any other pair."""
         return {w[i : i + 2] for w in self.table for i in range(len(w) - 1)}
 
+    @cached_property
+    def near(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``neighbours`` as bits: by code point, a row for a first character and a column for a second one (0: in no pair)."""
+        a, b = (np.array([ord(x[k]) for x in self.neighbours], np.int64) for k in (0, 1))
+        numbers = []
+        for codes in (a, b):
+            own = np.unique(codes)
+            numbers.append(np.zeros(0x110000, np.int32))
+            numbers[-1][own] = np.arange(1, len(own) + 1)
+        rows, columns = numbers
+        bits = np.zeros((rows.max() + 1, columns.max() // 8 + 1), np.uint8)
+        np.bitwise_or.at(bits, (rows[a], columns[b] >> 3), (1 << (columns[b] & 7)).astype(np.uint8))
+        return rows, columns, bits
+
 
 def default_model() -> str:
     import public_tokenizers
@@ -86,6 +100,47 @@ def segments_of(word: str, pieces: Pieces) -> list[str]:
     return [word] if len(cuts) == 2 else [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _strings(text: str, codes: np.ndarray, at: np.ndarray) -> pa.StringArray:
+    """The strings between places ``at`` of a text, whose code points are ``codes``."""
+    width = np.zeros(len(codes) + 1, np.int64)
+    width[1:] = 1
+    for least in (0x80, 0x800, 0x10000):
+        width[1:] += codes >= least
+    return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(np.cumsum(width)[at].astype(np.int32)), pa.py_buffer(text.encode()))
+
+
+def _regrouped(lists: pa.ListArray, at: np.ndarray) -> pa.ListArray:
+    """Lists put together: those between places ``at`` become one."""
+    return pa.ListArray.from_arrays(lists.offsets.take(pa.array(at)), lists.values)
+
+
+def cut_texts(texts: list[str | None], pieces: Pieces) -> tuple[pa.StringArray, np.ndarray]:
+    """The segments of some texts, as :func:`words_of` and :func:`segments_of` cut them, and how many lie before the end of each text."""
+    own = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+    text, ends = "".join(own), np.cumsum([0, *map(len, own)])
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    rows, columns, bits = pieces.near
+    column, line, mark = columns[codes[1:]], codes == ord("\n"), codes == ord(MARK)
+    cuts = np.ones(len(codes) + 1, bool)
+    cuts[1:-1] = bits[rows[codes[:-1]], column >> 3] >> (column & 7) & 1 == 0
+    cuts[1:-1] |= line[1:] | line[:-1] | mark[1:] & ~mark[:-1]
+    cuts[ends] = True
+    at = np.flatnonzero(cuts)
+    return _strings(text, codes, at), np.searchsorted(at, ends[1:])
+
+
+def ids_of_cuts(words: pa.StringArray, cuts: np.ndarray, pieces: Pieces) -> pa.ListArray:
+    """Ids of words, from their cuts: bit k of ``cuts`` is one before character k."""
+    text = "".join(words.to_pylist())
+    codes, sizes = np.frombuffer(text.encode("utf-32-le"), np.uint32), pc.utf8_length(words).to_numpy().astype(np.int64)
+    ends = np.cumsum(sizes)
+    places = np.arange(len(codes)) - np.repeat(ends - sizes, sizes)
+    at = np.append(np.flatnonzero(np.repeat(cuts, sizes) >> places & 1), len(codes))
+    coded = _strings(text, codes, at).dictionary_encode()
+    ids = [[pieces.table[x][0]] if x in pieces.table else [k for c in x for k in spelled(c, pieces)] for x in coded.dictionary.to_pylist()]
+    return _regrouped(pa.array(ids, pa.list_(pa.int32())).take(coded.indices), np.searchsorted(at, np.append(0, ends)))
+
+
 def spelled(c: str, pieces: Pieces) -> list[int]:
     """Ids of one character: its piece, else its bytes, else the unknown piece."""
     if c in pieces.table:
@@ -143,12 +198,13 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
 def lattice(words: DataFrame, table: DataFrame, least: int, longest: int, keys: list[str]) -> DataFrame:
     """``words`` (keys, word) with their edges of ``least`` characters or more, sorted: (cost, at, size). Words without any are left out."""
     n = F.char_length("word")
-    at = words.where(n >= least).select("*", n.alias("n"), F.explode(F.sequence(F.lit(0), n - least)).alias("at"))
+    # No sequence here is empty. The plain explode would have Spark filter for that, below what words came from.
+    at = words.where(n >= least).select("*", n.alias("n"), F.explode_outer(F.sequence(F.lit(0), n - least)).alias("at"))
     spans = at.select(*keys, "word", "at", F.explode(F.sequence(F.lit(least), F.least(F.lit(longest), F.col("n") - F.col("at")))).alias("size"))
     # A vocabulary is of a fixed size, some ten thousands of rows.
     edges = spans.withColumn("piece", F.substr("word", F.col("at") + 1, F.col("size"))).join(F.broadcast(table), "piece")
     one = F.struct((-F.col("score")).alias("cost"), "at", "size")
-    return edges.groupBy(*keys, "word").agg(F.array_sort(F.collect_list(one)).alias("edges"))
+    return edges.groupBy(*keys, "word").agg(F.sort_array(F.collect_list(one)).alias("edges"))
 
 
 def _span(at: Column, size: Column) -> Column:
@@ -204,7 +260,7 @@ def cut_words(words: DataFrame, table: DataFrame, kind: str, longest: int, keys:
     return edges.select(*keys, "word", fold_viterbi(F.col("word"), F.col("edges"), longest).alias("cuts"))
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, kind: str = "bpe", block_chars: int = 1 << 23, lattice_chars: int = 32) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, kind: str = "bpe", block_chars: int = 1 << 25, lattice_chars: int = 32) -> DataFrame:
     """(id, ids): each row's piece ids."""
     if not 1 < lattice_chars <= 62:
         raise ValueError("lattice_chars: 2 to 62")
@@ -230,60 +286,62 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: int | None = None
-        seen: set[str] = set()
+        seen: list[pa.Array] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            own = sorted({x for w in seen for x in segments_of(w, told.value) if 1 < len(x) <= longest_segment})
+            own = pc.unique(pa.chunked_array(seen, pa.string()))
+            size = pc.utf8_length(own)
+            own = own.filter(pc.and_(pc.greater(size, 1), pc.less_equal(size, longest_segment)))
+            own = own.take(pc.sort_indices(own))
             for k in range(0, len(own), 50_000):
                 some = own[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.string())], names=["block", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), some], names=["block", "word"])
 
         for k, b in blocks(batches):
             if k != block:
                 yield from out()
-                block, seen = k, set()
-            for text in b.column(2):
-                seen.update(words_of(text.as_py() or ""))
+                block, seen = k, []
+            seen.append(pc.unique(cut_texts(b.column(2).to_pylist(), told.value)[0]))
         yield from out()
 
     def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, b in blocks(batches):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, pa.schema([("doc_id", pa.int64()), ("text", pa.string())]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+            with pa.ipc.new_stream(sink, pa.schema([("doc_id", pa.int64()), ("text", pa.string())]), options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as to:
                 to.write_batch(pa.RecordBatch.from_arrays([b.column(1), b.column(2).cast(pa.string())], names=["doc_id", "text"]))
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "texts"])
 
-    words = rows.mapInArrow(distinct, "block long, word string").repartition("block")
-    found = cut_words(words, piece_table(spark, pieces), kind, pieces.longest, ["block"])
+    # Both uses of the blocks' segments read one exchange: what one side filters, the other does too, and each needs both columns.
+    least = 2 if kind == "bpe" else 1
+    placed = rows.mapInArrow(distinct, "block long, word string").where(F.char_length("word") >= least).repartition("word")
+    once = placed.groupBy("word").agg(F.min("block").alias("first"))
+    cut = cut_words(once, piece_table(spark, pieces), kind, pieces.longest, ["first"])
+    bits = F.aggregate("cuts", F.lit(0).cast("long"), lambda x, k: x.bitwiseOR(_bits(k, F.lit(1))))
+    found = placed.join(cut.select("word", bits.alias("cuts")).hint("shuffle_hash"), "word")
 
     def assemble(texts: pa.Table, spans: pa.Table) -> pa.Table:
         p = told.value
-        cuts_of = dict(zip(spans.column("word").to_pylist(), spans.column("cuts").to_pylist(), strict=True))
-        known: dict[str, list[int]] = {}
-
-        def ids_of(segment: str) -> list[int]:
-            if len(segment) == 1:
-                return spelled(segment, p)
-            if (cuts := cuts_of.get(segment)) is None:
-                return long_word(segment, p)
-            parts = [segment[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-            return [i for x in parts for i in ([p.table[x][0]] if x in p.table else [k for c in x for k in spelled(c, p)])]
-
-        doc_ids, ids, ends = [], array("i"), [0]
+        doc_ids, segments, ends, total = [], [], [np.zeros(1, np.int64)], 0
         for sent in texts.column("texts"):
             own = pa.ipc.open_stream(sent.as_buffer()).read_all()
-            doc_ids += own.column("doc_id").to_pylist()
-            for text in own.column("text"):
-                for w in words_of(text.as_py() or ""):
-                    if (x := known.get(w)) is None:
-                        x = known[w] = [i for s in segments_of(w, p) for i in ids_of(s)]
-                    ids.extend(x)
-                ends.append(len(ids))
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)]))
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": lists})
+            some, at = cut_texts(own.column("text").to_pylist(), p)
+            doc_ids += own.column("doc_id").chunks
+            segments.append(some)
+            ends.append(at + total)
+            total += len(some)
+        coded = pa.chunked_array(segments, pa.string()).dictionary_encode().combine_chunks()
+        words = spans.column("word").combine_chunks().cast(pa.string())
+        known = ids_of_cuts(words, spans.column("cuts").to_numpy(), p)
+        at = pc.index_in(coded.dictionary, value_set=words)
+        others = coded.dictionary.filter(at.is_null()).to_pylist()
+        rest = pa.array([spelled(x, p) if len(x) == 1 else long_word(x, p) for x in others], pa.list_(pa.int32()))
+        place = at.fill_null(0).to_numpy().copy()
+        place[at.is_null().to_numpy(zero_copy_only=False)] = len(words) + np.arange(len(others))
+        lists = pa.concat_arrays([known, rest]).take(pa.array(place[coded.indices.to_numpy()]))
+        return pa.table({"doc_id": pa.chunked_array(doc_ids, pa.int64()), "ids": _regrouped(lists, np.concatenate(ends))})
 
     sent = rows.mapInArrow(compressed, "block long, texts binary")
-    return sent.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(assemble, "doc_id long, ids array<int>")
+    return sent.groupBy("block").cogroup(found.select("block", "word", "cuts").groupBy("block")).applyInArrow(assemble, "doc_id long, ids array<int>")
 
 
 def long_word(word: str, pieces: Pieces) -> list[int]:

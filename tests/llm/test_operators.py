@@ -318,6 +318,34 @@ def test_pieces_of_all_documents_equal_the_library(spark):
         assert [k for x in parts for k in ([table.table[x][0]] if x in table.table else [k for c in x for k in pieces.spelled(c, table)])] == pieces.merged(w, table)
 
 
+def test_pieces_fold_a_segment_once(spark, monkeypatch):
+    """In however many blocks it lies; the blocks' segments are shuffled once for folding and for the join."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    folded, plain = [], pieces.cut_words
+    monkeypatch.setattr(pieces, "cut_words", lambda words, *more: folded.append(words) or plain(words, *more))
+    texts = {i: f"internationalization of blocks{i % 3}, xqzv" for i in range(40)}
+    found = pieces.encode(spark.createDataFrame([(i, t, "") for i, t in texts.items()], DOCS), block_chars=1)
+    assert {r["doc_id"]: r["ids"] for r in found.collect()} == {i: model.encode(t) for i, t in texts.items()}
+    own = [r["word"] for r in folded[0].collect()]
+    assert "▁internationalization" in own and len(own) == len(set(own))
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_cut_as_words_and_segments():
+    """The cuts in numpy against the rule by words, with texts that have none, and a model without any pair."""
+    rng = random.Random(3)
+    odd = [None, "", " ", "\n", "▁", "a", "é", "🙂", "\x00 \x00", " \n ▁\n\n  x"]
+    texts = odd + ["".join(rng.choice(["a", "the", "ing", " ", "  ", "\n", "▁", "é", "日本", "🙂", "ß", ",", "\t", "\x00", "Q"]) for _ in range(rng.randrange(40))) for _ in range(400)]
+    for table in (pieces.load(pieces.default_model()), pieces.Pieces("bpe", {"a": (0, -1.0)}, {}, 1, [])):
+        for some in (texts, texts[::-1], odd[:2], []):
+            found, ends = pieces.cut_texts(some, table)
+            expected = [[s for w in pieces.words_of(t or "") for s in pieces.segments_of(w, table)] for t in some]
+            assert found.to_pylist() == [s for x in expected for s in x]
+            assert ends.tolist() == list(itertools.accumulate(map(len, expected)))
+
+
 def test_pieces_out_of_order_go_by_the_heap(spark):
     """abc is made of bc, which comes after it: in the order of pieces it would be missed."""
     table = pieces.Pieces("bpe", {"a": (0, -9.0), "b": (1, -9.0), "c": (2, -9.0), "abc": (3, -1.0), "bc": (4, -2.0)}, {}, 5, [])
