@@ -118,15 +118,18 @@ def anova_by(df: DataFrame, strata: Sequence[str], terms: Sequence[str], score:
     return own.groupBy(*strata).applyInPandas(fit, f"{kinds}, {_ANOVA}")
 
 
-def fisher_combined(anovas: DataFrame, by: Sequence[str]) -> DataFrame:
+def fisher_combined(anovas: DataFrame, by: Sequence[str], whole: bool = False) -> DataFrame:
     """Per term the p-values of the strata combined: number k, X = -2 sum ln p, log10 of its chi-square tail."""
     good = anovas.where("log_p is not null and not isnan(log_p) and term not in ('residual', 'unfitted')")
     out = good.groupBy(*by, "term").agg(F.count("*").alias("k"), (F.sum("log_p") * -2).alias("chi2"))
-    return out.withColumn("log10p", log10_tail(F.col("chi2"), F.col("k")))
+    return out.withColumn("log10p", log10_tail(F.col("chi2"), F.col("k"), whole))
 
 
-def log10_tail(x: Column, k: Column) -> Column:
-    """log10 of the chi-square tail with 2k degrees of freedom, an expression: k terms, each from the one before."""
+def log10_tail(x: Column, k: Column, whole: bool = False) -> Column:
+    """log10 of the chi-square tail with 2k degrees of freedom, an expression: k terms, each from the one before.
+
+    Below 1e-308 the leading term alone, as published figures have it; all terms there too if ``whole``.
+    """
     start = F.struct(F.lit(0.0).alias("term"), F.lit(0.0).alias("top"), F.lit(1.0).alias("sum"))
 
     def add(acc: Column, i: Column) -> Column:
@@ -141,7 +144,7 @@ def log10_tail(x: Column, k: Column) -> Column:
     steps = F.when(k > 1, F.sequence(F.lit(1), k.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
     exact = lambda acc: (-x / 2 + acc["top"] + F.ln(acc["sum"])) / math.log(10)
     leading = lambda acc: (-x / 2 + acc["term"]) / math.log(10)
-    tail = F.aggregate(steps, start, add, lambda acc: F.when(exact(acc) >= -308, exact(acc)).otherwise(leading(acc)))
+    tail = F.aggregate(steps, start, add, lambda acc: exact(acc) if whole else F.when(exact(acc) >= -308, exact(acc)).otherwise(leading(acc)))
     return F.when(x <= 0, F.lit(0.0)).otherwise(tail)
 
 

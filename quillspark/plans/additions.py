@@ -178,7 +178,7 @@ def st06_values(spark, d):
     """The combination alone, of p-values that a table holds."""
     p = (F.col("p_partkey") * 7919 % 1000 + 1) / 2000.0
     rows = table(spark, d, "part").select((F.col("p_size") % 10).alias("size_class"), F.col("p_brand").alias("term"), F.ln(p.cast("double")).alias("log_p"))
-    return rounded(sensitivity.fisher_combined(rows, ["size_class"]))
+    return rounded(sensitivity.fisher_combined(rows, ["size_class"], whole=True))
 
 
 _LETTER = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}"

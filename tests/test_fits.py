@@ -137,3 +137,17 @@ def test_combination_of_many_p_values(spark):
     tail = math.log(total.numerator) - math.log(total.denominator) - float(half)
     assert r["chi2"] == pytest.approx(-2 * math.fsum(logs)) and total > 10**309
     assert r["log10p"] == pytest.approx(tail / math.log(10), abs=1e-9)
+
+
+def test_combination_below_the_least_double(spark, tmp_path):
+    """The query's tail keeps all its terms where p is less than 1e-308, as its SQL states it."""
+    from quillspark.plans import registry
+
+    path = str(tmp_path)
+    spark.range(6000).select(F.col("id").alias("p_partkey"), F.lit(7).alias("p_size"), F.lit("x").alias("p_brand")).write.parquet(f"{path}/part.parquet")
+    r = registry.queries()["st06_combined_p_values"](spark, path).first()
+    half = -math.fsum(math.log((7919 * k % 1000 + 1) / 2000) for k in range(6000))
+    logs = [i * math.log(half) - math.lgamma(i + 1) for i in range(6000)]
+    tail = max(logs) + math.log(math.fsum(math.exp(v - max(logs)) for v in logs)) - half
+    assert r["k"] == 6000 and tail / math.log(10) < -308
+    assert r["log10p"] == pytest.approx(tail / math.log(10), abs=1e-5)
